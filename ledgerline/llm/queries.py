@@ -7,13 +7,59 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, simhash
+from . import bpe, mixing, quality, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, equal payloads as revisits, read back from the archives."""
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, and whether it stays by them and by the lines that its host's documents share."""
+    rows = quality.assessed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+i AS (SELECT r, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5),
+g AS (SELECT r, p, count(*) OVER (PARTITION BY r, w[p], w[p + 1], w[p + 2], w[p + 3], w[p + 4]) AS n FROM i),
+c AS (SELECT r, least(5, p - coalesce(lag(p) OVER (PARTITION BY r ORDER BY p), -5)) AS more FROM g WHERE n > 1),
+rep AS (SELECT r, sum(more)::BIGINT AS n_repeat_words FROM c GROUP BY r),
+l AS (SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
+lw AS (
+  SELECT r, source, text, line,
+         trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[[:punct:]\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY r),
+hosts AS (SELECT source, count(DISTINCT text) AS host_docs FROM d GROUP BY source),
+above AS (
+  SELECT lw.source, norm FROM lw JOIN hosts h ON lw.source IS NOT DISTINCT FROM h.source
+  GROUP BY lw.source, norm, host_docs HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > 0.1 * host_docs),
+hit AS (
+  SELECT r, sum(words) AS removed FROM lw JOIN above a ON lw.source IS NOT DISTINCT FROM a.source AND lw.norm = a.norm GROUP BY r),
+m AS (
+  SELECT d.r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         coalesce(removed, 0)::BIGINT AS removed_words
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN hit USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND removed_words <= 0.5 * n_words AS kept, removed_words
+FROM m
+"""
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids by the public byte-level vocabulary, and what they decode to."""
     import public_tokenizers
@@ -72,9 +118,22 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_quality_rules": op2_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_source_mixing": op4_source_mixing,
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op8_simhash": op8_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op4_source_mixing": OP4_SQL}
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS first FROM p),
+bits AS (
+  SELECT *, list_transform(range(1, 40, 10), lambda k: ('0x' || substr(hex, k, 10))::BIGINT) AS parts FROM h)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(parts, lambda n: array_to_string(list_transform(range(35, -1, -5), lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((n >> s) & 31), 1)), '')), '') AS payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS NULL OR page_id = first THEN NULL ELSE first END AS refers_to
+FROM bits
+"""
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_source_mixing": OP4_SQL}
