@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding, simhash, suffix, warc
+from . import bpe, licenses, lines, mixing, quality, sharding, simhash, spotsigs, suffix, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,25 @@ FROM p
 """
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's canonical digest, the license that it is, and those that its lines name."""
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {licenses.canonical_sql("text")} AS form FROM documents),
+known AS (SELECT sha256({licenses.canonical_sql("t")}) AS digest, min(id) AS license_id FROM (VALUES {licenses.values_sql(licenses.LICENSES)}) v(id, t) GROUP BY 1),
+notes AS (SELECT {licenses.canonical_sql("t")} AS form, min(id) AS notice_id FROM (VALUES {licenses.values_sql(licenses.NOTICES)}) v(id, t) GROUP BY 1),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+n AS (
+  SELECT r, string_agg(DISTINCT notice_id, ',' ORDER BY notice_id) AS notice_ids, count(*) AS n_notices
+  FROM l JOIN notes ON {licenses.canonical_sql("line")} = notes.form GROUP BY r)
+SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS canonical_digest, license_id,
+       coalesce(notice_ids, '') AS notice_ids, coalesce(n_notices, 0)::BIGINT AS n_notices
+FROM d LEFT JOIN known ON form <> '' AND sha256(form) = known.digest LEFT JOIN n USING (r)
+"""
+
+
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 16 by rendezvous hashing of its id."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -122,14 +141,29 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint beside those of its edited text and of the next document."""
+    return spotsigs.edited_report(table(spark, sf_dir, "documents"))
+
+
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines that are like an earlier one of the corpus, by their numbers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    rows = lines.with_removed(docs)
+    return rows.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_source_mixing": op4_source_mixing,
+    "op5_license_scan": op5_license_scan,
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
+    "op9_spotsigs": op9_spotsigs,
+    "op10_fuzzy_lines": op10_fuzzy_lines,
 }
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -142,4 +176,4 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
        CASE WHEN first IS NULL OR page_id = first THEN NULL ELSE first END AS refers_to
 FROM bits
 """
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_source_mixing": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_source_mixing": OP4_SQL, "op5_license_scan": OP5_SQL}

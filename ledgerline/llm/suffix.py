@@ -22,15 +22,13 @@ is removed whole if it has `length` bytes. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import discard, written
+from .common import discard, release, written
 
 LENGTH = 400
 #: Bytes of the hashed strings that anchors are chosen among.
@@ -236,12 +234,6 @@ def taken_out(text: Column, spans: Column) -> Column:
     return cut(text, spans)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of plans whose results are written."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, crowd: int = CROWD, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
     """(rows, results): docs with their texts' keys k and size instead of the text, and per distinct text k, size, n_removed, n_spans, kept."""
     spark = docs.sparkSession
