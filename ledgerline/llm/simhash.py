@@ -7,8 +7,9 @@ which are counted over all fingerprints. Each fingerprint is then looked up, in
 to the part's threshold of flipped bits, and every candidate is verified on all 64 bits.
 
 Where a value of a part is shared by more than BUCKET_MOST distinct fingerprints, those and all that probe
-for it are linked through points instead: two fingerprints differ in 2 bits or fewer if and only if some point
-is within 1 bit of both. A point has 65 fingerprints around it at most, so no group's pairs are ever listed.
+for it are linked through points instead: two fingerprints differ in 2 r bits or fewer if and only if some point
+is within r bits of both. A point has a fixed number of fingerprints around it at most (65 for r = 1, 2081 for
+r = 2), so no group's pairs are ever listed.
 
 Equal fingerprints are one from the start. A null text has no words and the fingerprint zero, like any text
 without words. Null ids are in components but never name one. An empty table gives an empty result.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest
 
-from .common import discard, written
+from .common import GAP, discard, release, written
 from .components import connected_components
 
 BITS = 64
@@ -38,7 +39,9 @@ SEED = 42
 #: Fingerprints with one value of a part that are compared with each other directly.
 BUCKET_MOST = 64
 #: Numbers of parts that are tried.
-PARTS = (2, 3)
+PARTS = (2, 3, 4)
+#: Rounds in which what is left of a component is compared with its first text.
+ROUNDS = 3
 
 
 def fingerprint_bytes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -119,8 +122,8 @@ def part_value(fp: Column, part: list[int]) -> Column:
 def estimated_work(prints: DataFrame, parts: list[list[int]], p: np.ndarray, total: int, most: int) -> list[dict[int, float]]:
     """For each part and threshold, the probes plus the candidates to verify.
 
-    Pairs that agree in a part are counted over all fingerprints; those that differ in one or two of its bits
-    are estimated from them by how often each bit differs.
+    Pairs that agree in a part are counted over all fingerprints; those that differ in some of its bits are
+    estimated from them by how often each bit differs.
     """
     values = prints.select(F.explode(F.array(*[F.struct(F.lit(i).alias("part"), part_value(F.col("fp"), x).alias("value")) for i, x in enumerate(parts)])).alias("x"))
     counts = values.groupBy("x.part", "x.value").agg(F.count(F.lit(1)).alias("n"))
@@ -128,11 +131,12 @@ def estimated_work(prints: DataFrame, parts: list[list[int]], p: np.ndarray, tot
     out = []
     for i, part in enumerate(parts):
         q = np.clip(2 * p[part] * (1 - p[part]), 0, 0.5)
-        odds = q / (1 - q)
-        e1 = odds.sum()
-        e2 = (e1 * e1 - (odds * odds).sum()) / 2
+        exactly = np.zeros(most + 1)  # odds that just so many bits of the part differ, against none
+        exactly[0] = 1
+        for odds in q / (1 - q):
+            exactly[1:] += odds * exactly[:-1]
         pairs = max(same.get(i, 0.0), total * total / 2 * float(np.prod(1 - q)))
-        grown = {-1: 0.0, 0: pairs, 1: pairs * (1 + e1), 2: pairs * (1 + e1 + e2)}
+        grown = {-1: 0.0} | {t: pairs * exactly[: t + 1].sum() for t in range(most + 1)}
         out.append({t: grown[t] + total * sum(comb(len(part), k) for k in range(t + 1)) for t in range(-1, most + 1)})
     return out
 
@@ -157,14 +161,14 @@ def flips(part: list[int], most: int) -> list[int]:
 
 def near_links(prints: DataFrame, most: int = 2, bucket_most: int = BUCKET_MOST) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints `fp` of prints that differ in `most` bits or fewer, and no others."""
-    if most not in (1, 2):
-        raise ValueError("links through points hold for 1 or 2 differing bits")
+    if most not in (2, 4):
+        raise ValueError("links through points are made for 2 or 4 differing bits")
     total = prints.count()
     both = bit_counts(prints)
     p = np.diag(both) / max(total, 1)
     plans = []
     for n in PARTS:
-        if n <= most + 2:
+        if n <= most + 1:
             parts = correlated_parts(both, max(total, 1), n)
             plans.append((*allocated(estimated_work(prints, parts, p, total, most), most), parts))
     _, thresholds, parts = min(plans, key=lambda x: x[0])
@@ -180,24 +184,78 @@ def near_links(prints: DataFrame, most: int = 2, bucket_most: int = BUCKET_MOST)
     direct = small.join(probes, (F.col("part") == F.col("p")) & (F.col("value") == F.col("v")) & (fp < F.col("asks")) & (F.bit_count(fp.bitwiseXOR(F.col("asks"))) <= most))
     direct = direct.select(fp.alias("a"), F.col("asks").alias("b"))
     crowded = probes.join(large, in_large("p", "v"), "left_semi").select(F.col("asks").alias("fp")).distinct()
-    if most == 1:
-        points = crowded.select("fp", F.explode(F.array(fp, *[fp.bitwiseXOR(F.lit(m)) for m in flips(list(range(BITS)), 1)[1:]])).alias("point")).join(crowded.select(fp.alias("other")), F.col("point") == F.col("other"))
-        through = points.filter(fp < F.col("other")).select(fp.alias("a"), F.col("other").alias("b"))
-    else:
-        points = crowded.select("fp", F.explode(F.array(*[fp.bitwiseXOR(F.lit(m)) for m in flips(list(range(BITS)), 1)])).alias("point"))
-        around = points.groupBy("point").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
-        through = around.select("a", F.explode("all").alias("b")).filter(F.col("a") < F.col("b"))
+    points = crowded.select("fp", F.explode(F.array(*[fp.bitwiseXOR(F.lit(m)) for m in flips(list(range(BITS)), most // 2)])).alias("point"))
+    around = points.groupBy("point").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
+    through = around.select("a", F.explode("all").alias("b")).filter(F.col("a") < F.col("b"))
     return direct.union(through).distinct()
 
 
+def components_of(rows: DataFrame, most: int) -> DataFrame:
+    """(print, root, first): for each distinct fp of rows (doc_id, fp) its component's smallest fp, and its own smallest id."""
+    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints", "snappy")
+    roots = connected_components(near_links(prints, most))
+    rooted = prints.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("print"), F.coalesce("root", "fp").alias("root"), "first")
+    return written(rooted, "rooted", "snappy")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, most: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) for every row: its fingerprint, and the smallest id that links reach from it."""
     rows = written(docs.select(F.col(key).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")), "fingerprints", "snappy")
-    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints", "snappy")
-    roots = connected_components(near_links(prints, most))
-    rooted = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "rooted", "snappy")
+    rooted = components_of(rows, most)
     names = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "of"), "names", "snappy")
-    named = written(rooted.join(names, F.col("root") == F.col("of")).select(F.col("fp").alias("print"), "component_id"), "named", "snappy")
+    named = written(rooted.join(names, F.col("root") == F.col("of")).select("print", "component_id"), "named", "snappy")
     discard(rooted)
     return rows.join(named, F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id")
+
+
+def with_word_shingles(texts: DataFrame, text: str, n: int, out: str) -> DataFrame:
+    """texts with the hashes of each text's distinct shingles of n words in place of the text; of fewer words, the one of all."""
+    names = [c for c in texts.columns if c != text]
+    rows = texts.withColumn("__words", F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), GAP), lambda w: w != ""))
+    count = F.greatest(F.size("__words") - (n - 1), F.lit(1))
+    return rows.select(*names, F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice("__words", i, n)))).alias(out))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, most: int = 4, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near duplicates: the first by id.
+
+    Equal texts are one group. Texts whose fingerprints are in one component are compared with the component's
+    first, and go where the Jaccard similarity of their shingles of `words` words is `similarity` or more; what is
+    left has a first text of its own in the next of ROUNDS rounds. So no text goes on its fingerprint alone.
+    """
+    text_ = F.coalesce(F.col(text), F.lit(""))
+    rows = written(docs.select(F.col(key).alias("doc_id"), F.xxhash64(text_).alias("t"), fingerprint(F.col(text), shingle).alias("fp")), "fingerprints", "snappy")
+    rooted = components_of(rows.select("doc_id", "fp"), most)
+    texts = written(rows.groupBy("t").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("copies")), "texts", "snappy")
+    members = texts.join(rooted.select("print", "root"), F.col("fp") == F.col("print")).select("t", "first", "root")
+    sizes = written(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("root").alias("of")), "groups", "snappy")
+    left = written(members.join(sizes, F.col("root") == F.col("of")).drop("of"), "members", "snappy")
+    asked = left.select(F.col("t").alias("of"))
+    bodies = docs.select(F.xxhash64(text_).alias("t"), text_.alias("text")).join(asked, F.col("t") == F.col("of"), "left_semi").groupBy("t").agg(F.any_value("text").alias("text"))
+    bodies = written(bodies, "bodies")
+    release(docs.sparkSession)
+    gone = None
+    for _ in range(ROUNDS):
+        firsts = left.groupBy("root").agg(F.min(F.struct("first", "t")).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        firsts = written(firsts.select(F.col("root").alias("of"), F.col("x.t").alias("first_t")), "firsts", "snappy")
+        pairs = left.join(firsts, F.col("root") == F.col("of")).select("t", "first_t").filter(F.col("t") != F.col("first_t"))
+        first_texts = firsts.select(F.col("first_t").alias("ft")).join(bodies, F.col("ft") == F.col("t")).select("ft", "text")
+        first_texts = written(with_word_shingles(first_texts, "text", words, "first_set"), "first-texts")
+        member_texts = written(pairs.join(bodies.withColumnRenamed("t", "bt"), F.col("t") == F.col("bt")).select("t", "first_t", "text"), "member-texts")
+        both = with_word_shingles(member_texts.join(first_texts, F.col("first_t") == F.col("ft")), "text", words, "set")
+        common = F.size(F.array_intersect("set", "first_set"))
+        alike = written(both.filter(common >= similarity * (F.size("set") + F.size("first_set") - common)).select(F.col("t").alias("gone")), "alike", "snappy")
+        done = alike.union(firsts.select("first_t"))
+        left = written(left.join(done, F.col("t") == F.col("gone"), "left_anti"), "members", "snappy")
+        gone = alike if gone is None else gone.union(alike)
+        for old in (first_texts, member_texts):
+            discard(old)
+        release(docs.sparkSession)
+    stay = texts.join(gone, F.col("t") == F.col("gone"), "left_anti").select(F.col("t").alias("__t"), F.col("first").alias("__first"))
+    stay = written(stay, "stay", "snappy")
+    kept = docs.withColumn("__of", F.xxhash64(text_)).join(stay, (F.col("__of") == F.col("__t")) & F.col(key).eqNullSafe(F.col("__first"))).drop("__t", "__first")
+    again = rows.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id"), F.col("t").alias("__again"))
+    again = written(again, "rows-again", "snappy")
+    same = (F.col("__of") == F.col("__again")) & F.col(key).eqNullSafe(F.col("__id"))
+    out = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([key, "__of"]))
+    return out.select(*docs.columns)

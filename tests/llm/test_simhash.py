@@ -76,10 +76,9 @@ def test_crowded_parts_are_linked_through_points(spark):
             x ^= 1 << random.randrange(63)
         prints.add(x)
     df = spark.createDataFrame([(p, 1) for p in prints], "fp long, first long")
-    expected = plain_components(prints)
-    for bucket in (1, 8, 10**6):
-        roots = {r.node: r.root for r in connected_components(simhash.near_links(df, 2, bucket)).collect()}
-        assert {p: roots.get(p, p) for p in prints} == expected, bucket
+    for most, bucket in ((2, 1), (2, 10**6), (4, 20)):
+        roots = {r.node: r.root for r in connected_components(simhash.near_links(df, most, bucket)).collect()}
+        assert {p: roots.get(p, p) for p in prints} == plain_components(prints, most), (most, bucket)
 
 
 def test_thresholds_add_up_and_parts_cover_the_bits():
@@ -103,3 +102,15 @@ def test_whole_small_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text, None) for r in docs.select("doc_id", "text").collect()]
     check(spark, rows)
+
+
+def test_one_of_each_group_stays(spark):
+    random.seed(8)
+    base = [" ".join(f"w{random.randrange(500)}" for _ in range(300)) for _ in range(4)]
+    near = base[0].split(" ")
+    near[150] = "edit"
+    rows = [(1, base[0]), (2, base[1]), (3, base[2]), (9, base[0]), (4, " ".join(near)), (5, None), (6, ""), (None, base[3]), (None, base[3]), (3, base[2]), (7, "a b"), (8, "A  B")]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, t string, print int")
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, base[0]), (2, base[1]), (3, base[2]), (5, None), (None, base[3]), (7, "a b")], key=repr)
