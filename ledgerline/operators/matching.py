@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import normalize_name, strip_company_suffix
 
@@ -22,7 +23,7 @@ def common_subsequence(a: str, b: str) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_sort_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """100 * 2 LCS / (lengths) of the names with their words in order."""
     def ratio(a: str, b: str) -> float:

@@ -1 +1,216 @@
-"""To come."""
+"""Queries of report texts, links, statement line items, published tables and incremental work."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import cohorts, extract
+from ..operators.cohorts import pending_company_years as years_to_do
+from . import panel
+from .catalog import query
+from .panel import table
+
+#: Words that occur in the invented documents, in place of the report words.
+WORDS = {"opinion": ("the ",), "disclaimer": ("licensed",), "adverse": (" of ",), "qualified": (" and ",), "going_concern": (" to ",), "uncertainty": ("ing ", "ed "), "emphasis": ("version",), "fraud": (" que ",), "reported": (" le ", " la ")}
+HAS = lambda k: "(" + " OR ".join(f"contains(t, '{w}')" for w in WORDS[k]) + ")"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
+SELECT doc_id, CASE WHEN {HAS('disclaimer')} AND {HAS('opinion')} THEN 'disclaimer' WHEN {HAS('adverse')} AND {HAS('opinion')} THEN 'adverse' WHEN {HAS('qualified')} AND {HAS('opinion')} THEN 'qualified' ELSE 'unqualified' END AS opinion_type,
+  ({HAS('going_concern')} AND {HAS('uncertainty')})::INT AS going_concern_uncertainty, ({HAS('emphasis')})::INT AS emphasis_of_matter, ({HAS('fraud')} AND {HAS('reported')})::INT AS fraud_reported FROM d""")
+def auditor_flags(spark, sf_dir):
+    flags = extract.auditor_flags(F.col("text"), WORDS)
+    return table(spark, sf_dir, "documents").select("doc_id", flags.alias("x")).select("doc_id", "x.*")
+
+
+#: One report sentence for each customer.
+REPORT_SQL = """reports AS (
+  SELECT c_custkey AS k, CASE c_custkey % 6
+    WHEN 0 THEN 'Statutory Auditor: Firm ' || c_custkey || ' for the year. Promoters and group: ' || (c_custkey % 90) || '.25 % held'
+    WHEN 1 THEN 'M/s ' || c_mktsegment || ' and Co, Chartered Accountants. Related party dealings amount: ' || (c_custkey % 90) || ',' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || '.5 in all'
+    WHEN 2 THEN 'Contingent liabilities not provided, Rs. ' || (c_custkey % 9) || ',100 crore. 45.5 % of shares by promoter'
+    WHEN 3 THEN '7,250.75 crore with related party units; 12 cr. contingent'
+    WHEN 4 THEN NULL ELSE 'nothing to report' END AS text FROM customer)"""
+
+
+def reports(spark, sf_dir):
+    k = F.col("c_custkey")
+    s = lambda c: c.cast("string")
+    text = F.when(k % 6 == 0, F.concat(F.lit("Statutory Auditor: Firm "), s(k), F.lit(" for the year. Promoters and group: "), s(k % 90), F.lit(".25 % held")))
+    text = text.when(k % 6 == 1, F.concat(F.lit("M/s "), "c_mktsegment", F.lit(" and Co, Chartered Accountants. Related party dealings amount: "), s(k % 90), F.lit(","), F.lpad(s(k % 1000), 3, "0"), F.lit(".5 in all")))
+    text = text.when(k % 6 == 2, F.concat(F.lit("Contingent liabilities not provided, Rs. "), s(k % 9), F.lit(",100 crore. 45.5 % of shares by promoter")))
+    text = text.when(k % 6 == 3, "7,250.75 crore with related party units; 12 cr. contingent").when(k % 6 == 5, "nothing to report")
+    return table(spark, sf_dir, "customer").select(k.alias("k"), text.alias("text"))
+
+
+def first_sql(*patterns: str) -> str:
+    return "coalesce(" + ", ".join(f"try_cast(nullif(replace(regexp_extract(text, '{p}', 1, 'i'), ',', ''), '') AS DOUBLE)" for p in patterns) + ")"
+
+
+AMOUNTS_SQL = {
+    "promoter_pct": first_sql(r"promoters?\s*(?:and\s+group)?\s*[:\s]*([0-9]+\.?[0-9]*)\s*%?", r"([0-9]+\.?[0-9]*)\s*%\s*(?:.*?\s)?promoter"),
+    "rpt_amount": first_sql(r"(?:related\s+party|rpt).*?(?:amount|rs\.?|inr)\s*[:\s]*([0-9,]+\.?[0-9]*)", r"([0-9,]+\.?[0-9]*)\s*(?:crore|cr\.?)\s*(?:.*?\s)?related\s+party"),
+    "contingent_amount": first_sql(r"contingent\s+liab(?:ility|ilities).*?(?:rs\.?|inr|amount)\s*[:\s]*([0-9,]+\.?[0-9]*)", r"([0-9,]+\.?[0-9]*)\s*(?:crore|cr\.?)\s*(?:.*?\s)?contingent"),
+}
+
+
+def _amount(name: str) -> None:
+    def run(spark, sf_dir):
+        return reports(spark, sf_dir).select("k", getattr(extract, name)(F.col("text")).alias(name))
+
+    run.__name__ = name
+    query(f"WITH {REPORT_SQL} SELECT k, {AMOUNTS_SQL[name]} AS {name} FROM reports")(run)
+
+
+for _name in AMOUNTS_SQL:
+    _amount(_name)
+
+
+@query(f"""WITH {REPORT_SQL} SELECT k, CASE k % 6 WHEN 0 THEN regexp_extract(text, ': (.*?) for ', 1) WHEN 1 THEN regexp_extract(text, 'M/s (.*?), Chartered', 1) END AS auditor_name FROM reports""")
+def auditor_name(spark, sf_dir):
+    return reports(spark, sf_dir).select("k", extract.auditor_name(F.col("text")).alias("auditor_name"))
+
+
+LINK_SQL = """anchors AS (SELECT page_id, url, unnest(a) AS a, generate_subscripts(a, 1) - 1 AS place FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\s[^>]*href="[^"]*"[^>]*>.*?</a>') AS a FROM pages)),
+raw AS (SELECT page_id, place, url, regexp_extract(a, '(?i)href="([^"]*)"', 1) AS h, trim(regexp_replace(lower(regexp_replace(a, '(?s)<[^>]*>', '', 'g')), '\\s+', ' ', 'g')) AS text FROM anchors),
+absolute AS (SELECT page_id, place, CASE WHEN regexp_matches(h, '^[a-zA-Z]+://') THEN h WHEN starts_with(h, '/') THEN regexp_extract(url, '^([a-zA-Z]+://[^/]+)', 1) || h ELSE regexp_replace(url, '[^/]*$', '') || h END AS href, text FROM raw),
+links AS (SELECT * FROM absolute WHERE ends_with(regexp_replace(lower(href), '\\?.*$', ''), 'e') QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY place) = 1)"""
+
+
+@query(f"""WITH {LINK_SQL}, f AS (SELECT *, string_split(regexp_replace(href, '\\?.*$', ''), '/')[-1] AS filename FROM links)
+SELECT page_id, place::INT AS place, href, text, filename, regexp_replace(filename, '\\.[^.]*$', '') AS quarter FROM f""")
+def extract_links(spark, sf_dir):
+    return extract.extract_links(table(spark, sf_dir, "pages"), "e")
+
+
+@query(f"""WITH {LINK_SQL}, t AS (SELECT page_id, href, CASE WHEN contains(lower(href), 'the') OR contains(text, 'the') THEN 1 WHEN contains(href, '/de') THEN 2 ELSE 3 END AS tier FROM links)
+SELECT * FROM t QUALIFY tier = min(tier) OVER (PARTITION BY page_id)""")
+def link_manifest_filter(spark, sf_dir):
+    links = extract_links(spark, sf_dir).select("page_id", "href", "text")
+    return cohorts.link_manifest_filter(links, ["the"], ["/de"]).select("page_id", "href", "tier")
+
+
+#: Line items made from order lines: a company-year's lines in turn, with statement labels.
+LABELS = ("Net Sales", "Net Profit / Loss", "Interest", "Depreciation", "Profit Before Tax", "Equity Capital", "Reserves", "Net Worth", "Other")
+PATTERNS = [("revenue", 1, "sales"), ("revenue", 2, "revenue from operations"), ("pat", 1, "net profit"), ("interest_expense", 1, "interest"), ("depreciation", 1, "depreciation"), ("pbt", 1, "profit before tax"), ("equity_capital", 1, "equity capital"), ("reserves", 1, "reserves"), ("net_worth", 1, "net worth")]
+ITEM_SQL = f"""items AS (
+  SELECT o_custkey AS cin, year(o_orderdate)::INT AS financial_year, 0 AS table_pos, l_orderkey * 10 + l_linenumber AS row_pos, ['{"', '".join(LABELS)}'][1 + (l_partkey % {len(LABELS)})::INT] AS label,
+    CASE WHEN l_quantity > 3 THEN l_extendedprice END AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+patterns AS (SELECT * FROM (VALUES {', '.join(str(x) for x in PATTERNS)}) v(field, rank, pattern)),
+matched AS (
+  SELECT cin, financial_year, field, arg_min(value, rank * 1000000000000 + row_pos) AS value FROM items JOIN patterns ON contains(lower(label), pattern) OR contains(pattern, lower(label))
+  WHERE value IS NOT NULL GROUP BY ALL)"""
+
+
+def items(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("cin"), F.year("o_orderdate").alias("financial_year"))
+    lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("l_partkey") % len(LABELS) + 1).cast("int"))
+    value = F.when(F.col("l_quantity") > 3, F.col("l_extendedprice"))
+    return lines.select("cin", "financial_year", F.lit(0).alias("table_pos"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_pos"), F.concat(F.lit(" "), F.upper(label)).alias("label"), value.alias("value"))
+
+
+def matched(spark, sf_dir):
+    return extract.match_line_items(items(spark, sf_dir), spark.createDataFrame(PATTERNS, "field string, rank int, pattern string"))
+
+
+@query(f"WITH {ITEM_SQL} SELECT * FROM matched")
+def match_line_items(spark, sf_dir):
+    return matched(spark, sf_dir)
+
+
+FIELDS = list(dict.fromkeys(x[0] for x in PATTERNS))
+
+
+@query(f"""WITH {ITEM_SQL}, wide AS (SELECT cin, financial_year, {', '.join(f"max(value) FILTER (WHERE field = '{f}') AS {f}" for f in FIELDS)} FROM matched GROUP BY ALL)
+SELECT *, pbt + interest_expense + depreciation AS ebitda, coalesce(equity_capital + reserves, equity_capital, net_worth) AS total_equity, reserves AS retained_earnings FROM wide""")
+def assemble_company_year(spark, sf_dir):
+    return extract.assemble_company_year(matched(spark, sf_dir), FIELDS)
+
+
+@query("""WITH c AS (SELECT s_suppkey AS id, unnest([s_suppkey || '|' || s_name || '|x', '|no code', 'line without bars', 'B' || s_suppkey || '| ' || lower(s_name)]) AS line, unnest([0, 1, 2, 3]) AS place FROM supplier)
+SELECT id, place, trim(string_split(line, '|')[1]) AS code, trim(string_split(line, '|')[2]) AS name FROM c WHERE contains(line, '|') AND trim(string_split(line, '|')[1]) <> ''""")
+def parse_candidates(spark, sf_dir):
+    k = F.col("s_suppkey").cast("string")
+    raw = F.concat_ws("\n", F.concat(k, F.lit("|"), "s_name", F.lit("|x")), F.lit("|no code"), F.lit("line without bars"), F.concat(F.lit("B"), k, F.lit("| "), F.lower("s_name")))
+    return extract.parse_candidates(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), raw.alias("raw")))
+
+
+@query("""SELECT c_nationkey::BIGINT AS table_id, c_custkey + 1 AS row_pos, c_name AS company_name, NULL::VARCHAR AS cin, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS bank_name, NULL::VARCHAR AS branch, NULL::VARCHAR AS state,
+  c_custkey + 0.5::DOUBLE AS amount, CASE WHEN c_custkey % 2 = 0 THEN DATE '2016-03-05' END AS classification_date FROM customer""")
+def normalize_published_table(spark, sf_dir):
+    """Customers as published tables of cells, one table a nation, with a title row and headers of several spellings."""
+    k, t = F.col("c_custkey"), F.col("c_nationkey").cast("long")
+    people = table(spark, sf_dir, "customer")
+    cell = lambda col, value: F.struct(F.lit(col).alias("col_pos"), value.alias("value"))
+    body = people.select(t.alias("table_id"), (k + 1).alias("row_pos"), F.explode(F.array(
+        cell(0, F.concat(F.lit(" "), "c_name")), cell(1, F.when(k % 3 > 0, F.col("c_mktsegment"))), cell(2, F.concat(k.cast("string"), F.lit(".5"))), cell(3, F.when(k % 2 == 0, "05/03/2016").otherwise("n.a.")),
+    )).alias("x"))
+    heads = people.select(t.alias("table_id")).distinct().select("table_id", F.explode(F.array(
+        F.struct(F.lit(-1).cast("long").alias("row_pos"), cell(0, F.lit("List of accounts")).alias("x")),
+        *[F.struct(F.lit(0).cast("long").alias("row_pos"), cell(i, F.lit(h)).alias("x")) for i, h in enumerate(("Name of the  Borrower", "Bank", "Outstanding Amount", "Date of Classification"))],
+    )).alias("y")).select("table_id", "y.row_pos", "y.x")
+    return extract.normalize_published_table(body.unionByName(heads).select("table_id", "row_pos", "x.col_pos", "x.value"))
+
+
+@query("""WITH c AS (SELECT o_custkey AS cin, year(o_orderdate)::INT AS y, o_orderkey AS k FROM orders)
+SELECT cin, 'profit-loss' AS section, 0 AS table_pos, 1 AS row_pos, 'Sales' AS label, y AS financial_year, (1000 + k)::DOUBLE AS value FROM c
+UNION ALL SELECT cin, 'profit-loss', 0, 2, 'Tax', y - 1, -5.5::DOUBLE FROM c""")
+def parse_statement_tables(spark, sf_dir):
+    """A statement page for each order, parsed back into line items."""
+    y, k = F.year("o_orderdate"), F.col("o_orderkey")
+    tr = lambda *cells: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td> "), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+    amount = F.regexp_replace((1000 + k).cast("string"), "([0-9]{3})$", ",$1")
+    page = F.concat(
+        F.lit('<section id="profit-loss"><table>'), tr(F.lit(""), F.concat(F.lit("Mar "), (y - 1).cast("string")), F.concat(F.lit("Mar <b>"), F.substring(y.cast("string"), 3, 2), F.lit("</b>"))),
+        tr(F.lit("Sales"), F.lit("--"), amount), tr(F.lit("Tax"), F.lit("-5.5"), F.lit("")), F.lit("</table></section>"),
+    )
+    pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cin"), page.alias("html"))
+    found = extract.statement_items(extract.parse_statement_tables(pages))
+    late = F.when(F.col("financial_year") > 2050, F.col("financial_year") - 100).otherwise(F.col("financial_year"))  # two digits of a year before 2000
+    return found.select("cin", "section", "table_pos", "row_pos", "label", late.alias("financial_year"), "value")
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id AS cin, year(ts)::INT AS financial_year FROM events), plan AS (SELECT cin, unnest([financial_year, financial_year - 1])::INT AS financial_year FROM e)
+SELECT DISTINCT cin, financial_year FROM plan WHERE (cin, financial_year) NOT IN (SELECT cin, financial_year FROM e WHERE cin % 2 = 0)""")
+def append_with_checkpoint(spark, sf_dir):
+    """What a resumed job has left to do: planned years that the checkpoint doesn't have."""
+    seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("cin"), F.year("ts").alias("financial_year")).distinct()
+    plan = seen.select("cin", F.explode(F.array("financial_year", F.col("financial_year") - 1)).alias("target_fy"))
+    return years_to_do(seen.select("cin").distinct(), plan, seen.filter("cin % 2 = 0")).distinct()
+
+
+@query("""SELECT event_id, try_cast(regexp_extract(props, '"k": ([0-9]+)', 1) AS INT) AS k FROM events""")
+def read_json_rows(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query(f"WITH {panel.SQL} SELECT company_name, financial_year, CASE WHEN promoter_holding_pct % 4 <> 0 THEN round(promoter_holding_pct, 2) END AS promoter_holding_pct, CASE WHEN financial_year % 5 <> 0 THEN sector END AS sector FROM company_year")
+def read_company_years(spark, sf_dir):
+    """Company-years as text with missing tokens and bad numbers, typed again."""
+    from ..sources.tables import typed_company_years
+
+    df = panel.company_years(spark, sf_dir)
+    texts = df.select(
+        "company_name", F.concat(F.col("financial_year").cast("string"), F.lit(" ")).alias("financial_year"),
+        F.when(F.col("promoter_holding_pct") % 4 == 0, "12 percent").otherwise(F.col("promoter_holding_pct").cast("string")).alias("promoter_holding_pct"),
+        F.when(F.col("financial_year") % 5 == 0, "N/A").otherwise(F.col("sector")).alias("sector"),
+    )
+    return typed_company_years(texts).select("company_name", "financial_year", "promoter_holding_pct", "sector")
+
+
+@query()
+def incremental_score(spark, sf_dir):
+    """The incremental job over the company-years in two batches of files; its latest scores."""
+    import tempfile
+    import uuid
+
+    from ..streaming import incremental
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ledgerline-')}"
+    base = f"{shared.rstrip('/')}/incremental-{uuid.uuid4().hex}"
+    years = panel.company_years(spark, sf_dir)
+    for batch in ("financial_year <= 1996", "financial_year > 1996"):
+        years.filter(batch).write.mode("append").parquet(f"{base}/incoming")
+        incremental.incremental_score(spark, f"{base}/incoming", years.schema, f"{base}/facts", f"{base}/scores", f"{base}/checkpoint").awaitTermination()
+    return incremental.latest_scores(spark, f"{base}/scores").select("cin", "batch_id", "years_received", "latest_financial_year", "risk_band", "rule_flag_count")

@@ -28,11 +28,11 @@ def take_batch(batch: DataFrame, batch_id: int, facts: str, scores: str, thresho
     under its own id, and are written over. Scores carry the batch id, the latest of a company counts.
     """
     spark = batch.sparkSession
-    before = existing(spark, facts, StructType(batch.schema.fields).add("batch_id", "long"))
+    before = existing(spark, facts, StructType([*batch.schema.fields]).add("batch_id", "long"))
     before = before.filter(F.col("batch_id") != batch_id)
     new = dedupe_first(batch, KEYS, ["company_name"]).join(before.select(*KEYS), KEYS, "left_anti")
     new.write.mode("overwrite").parquet(f"{facts}/batch_id={batch_id}")
-    new = spark.read.schema(batch.schema).parquet(f"{facts}/batch_id={batch_id}")
+    new = spark.read.parquet(f"{facts}/batch_id={batch_id}").select(*batch.columns)
     touched = new.select("cin").distinct()
     history = before.drop("batch_id").join(touched, "cin", "left_semi").unionByName(new)
     score_companies(history, threshold).write.mode("overwrite").parquet(f"{scores}/batch_id={batch_id}")
