@@ -184,7 +184,12 @@ def near_links(prints: DataFrame, most: int = 2, bucket_most: int = BUCKET_MOST)
     direct = small.join(probes, (F.col("part") == F.col("p")) & (F.col("value") == F.col("v")) & (fp < F.col("asks")) & (F.bit_count(fp.bitwiseXOR(F.col("asks"))) <= most))
     direct = direct.select(fp.alias("a"), F.col("asks").alias("b"))
     crowded = probes.join(large, in_large("p", "v"), "left_semi").select(F.col("asks").alias("fp")).distinct()
-    points = crowded.select("fp", F.explode(F.array(*[fp.bitwiseXOR(F.lit(m)) for m in flips(list(range(BITS)), most // 2)])).alias("point"))
+    bit = lambda c: F.when(F.col(c) >= 0, F.expr(f"shiftleft(1L, {c})")).otherwise(F.lit(0).cast("long"))
+    points = crowded.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(BITS - 1))).alias("i"))
+    points = points.select("fp", "i", fp.bitwiseXOR(bit("i")).alias("point"))
+    if most == 4:  # a second bit, above the first; a place of -1 flips none
+        points = points.withColumn("j", F.explode(F.when(F.col("i") == BITS - 1, F.array(F.lit(-1))).otherwise(F.concat(F.array(F.lit(-1)), F.sequence(F.col("i") + 1, F.lit(BITS - 1))))))
+        points = points.filter((F.col("i") >= 0) | (F.col("j") < 0)).select("fp", F.col("point").bitwiseXOR(bit("j")).alias("point"))
     around = points.groupBy("point").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
     through = around.select("a", F.explode("all").alias("b")).filter(F.col("a") < F.col("b"))
     return direct.union(through).distinct()
