@@ -211,6 +211,11 @@ def lookback_years(spark, sf_dir):
     return dp.lookback_years(dp.defaulter_anchor(both_cohorts(spark, sf_dir)[0]).select("cin", "anchor_fy"))
 
 
+@query(f"WITH {COHORT_SQL} SELECT cin, d AS doc_type, d NOT IN ('{"', '".join(dp.OPTIONAL)}') AS required FROM defaulters, (SELECT unnest(['{"', '".join(dp.REQUIRED + dp.OPTIONAL)}']) AS d)")
+def expand_documents(spark, sf_dir):
+    return dp.expand_documents(both_cohorts(spark, sf_dir)[0].select("cin"))
+
+
 PLAN_SQL = f"""{ANCHOR_SQL},
 docs AS (SELECT unnest(['{"', '".join(dp.REQUIRED + dp.OPTIONAL)}']) AS doc_type),
 companies AS (

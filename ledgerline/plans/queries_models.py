@@ -63,7 +63,10 @@ def fill_rate(spark, sf_dir):
     return panel.company_years(spark, sf_dir).select("cin", "financial_year", quality.fill_rate(CHECKED).alias("filled"))
 
 
-@query("SELECT * FROM (VALUES ('one'), ('gone')) v(feature)")
+PARTS_SQL = {"l_quantity": "l_quantity", "part": "CASE WHEN l_quantity > 5 THEN l_tax * 0 END", "one": "1", "gone": "NULL::DOUBLE"}
+
+
+@query("SELECT feature FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS feature, count(DISTINCT {v}) + max(({v} IS NULL)::INT) AS n FROM lineitem" for k, v in PARTS_SQL.items()) + ") WHERE n <= 1")
 def constant_columns(spark, sf_dir):
     df = panel.table(spark, sf_dir, "lineitem").select("l_quantity", F.when(F.col("l_quantity") > 5, F.col("l_tax") * 0).alias("part"), F.lit(1).alias("one"), F.lit(None).cast("double").alias("gone"))
     return quality.constant_columns(df, ["l_quantity", "part", "one", "gone"])
@@ -243,11 +246,30 @@ def choose_production(spark, sf_dir):
 INPUTS = ["current_ratio", "debt_to_assets", "interest_coverage", "net_profit_margin", "cash_flow_to_debt", "equity_ratio"]
 
 
+def fitted(spark, sf_dir, name, grid):
+    df = selection.company_split(rows(spark, sf_dir)).select("target_wilful_default", "sector", "split", *INPUTS)
+    return training.fit_grid(df.filter("split = 'train'"), df.filter("split = 'val'"), name, grid, INPUTS)
+
+
 @query()
 def train_logistic(spark, sf_dir):
     """The leaderboard row of the logistic grid, chosen on validation companies."""
-    df = selection.company_split(rows(spark, sf_dir)).select("target_wilful_default", "sector", "split", *INPUTS)
-    _, metrics = training.fit_grid(df.filter("split = 'train'"), df.filter("split = 'val'"), "logistic_regression", training.LOGISTIC_GRID, INPUTS)
-    return training.leaderboard(spark, [metrics])
+    return training.leaderboard(spark, [fitted(spark, sf_dir, "logistic_regression", training.LOGISTIC_GRID)[1]])
 
 
+@query()
+def train_forest(spark, sf_dir):
+    """The leaderboard row of two small points of the forest's grid."""
+    return training.leaderboard(spark, [fitted(spark, sf_dir, "random_forest", [x | {"numTrees": 20} for x in training.FOREST_GRID[:2]])[1]])
+
+
+@query()
+def train_boosting(spark, sf_dir):
+    """The leaderboard row of a small point of the boosting grid."""
+    return training.leaderboard(spark, [fitted(spark, sf_dir, "gradient_boosting", [training.BOOSTING_GRID[0] | {"maxIter": 10}])[1]])
+
+
+@query()
+def feature_diagnostics(spark, sf_dir):
+    """A logistic model's coefficients by size."""
+    return training.feature_diagnostics(spark, fitted(spark, sf_dir, "logistic_regression", training.LOGISTIC_GRID[:1])[0], INPUTS)
