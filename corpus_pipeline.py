@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, of lines that are alike only the first in the corpus."""
-    return whole(lines.deduplicated(whole(docs)), changed=True)
+    return whole(lines.deduplicated(whole(docs), every=True), changed=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
