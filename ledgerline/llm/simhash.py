@@ -40,8 +40,6 @@ SEED = 42
 BUCKET_MOST = 64
 #: Numbers of parts that are tried.
 PARTS = (2, 3, 4)
-#: Rounds in which what is left of a component is compared with its first text.
-ROUNDS = 3
 
 
 def fingerprint_bytes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -226,7 +224,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
 
     Equal texts are one group. Texts whose fingerprints are in one component are compared with the component's
     first, and go where the Jaccard similarity of their shingles of `words` words is `similarity` or more; what is
-    left has a first text of its own in the next of ROUNDS rounds. So no text goes on its fingerprint alone.
+    left has a first text of its own in the next round, until no component has two texts left: as many rounds as the
+    component of most groups has groups. So no text goes on its fingerprint alone, and none stays uncompared.
     """
     text_ = F.coalesce(F.col(text), F.lit(""))
     rows = written(docs.select(F.col(key).alias("doc_id"), F.xxhash64(text_).alias("t"), fingerprint(F.col(text), shingle).alias("fp")), "fingerprints", "snappy")
@@ -240,9 +239,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     bodies = written(bodies, "bodies")
     release(docs.sparkSession)
     gone = None
-    for _ in range(ROUNDS):
+    while True:
         firsts = left.groupBy("root").agg(F.min(F.struct("first", "t")).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         firsts = written(firsts.select(F.col("root").alias("of"), F.col("x.t").alias("first_t")), "firsts", "snappy")
+        if firsts.isEmpty():
+            break
         pairs = left.join(firsts, F.col("root") == F.col("of")).select("t", "first_t").filter(F.col("t") != F.col("first_t"))
         first_texts = firsts.select(F.col("first_t").alias("ft")).join(bodies, F.col("ft") == F.col("t")).select("ft", "text")
         first_texts = written(with_word_shingles(first_texts, "text", words, "first_set"), "first-texts")
@@ -252,11 +253,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
         alike = written(both.filter(common >= similarity * (F.size("set") + F.size("first_set") - common)).select(F.col("t").alias("gone")), "alike", "snappy")
         done = alike.union(firsts.select("first_t"))
         left = written(left.join(done, F.col("t") == F.col("gone"), "left_anti"), "members", "snappy")
-        gone = alike if gone is None else gone.union(alike)
+        gone = alike if gone is None else written(gone.union(alike), "gone", "snappy")
         for old in (first_texts, member_texts):
             discard(old)
         release(docs.sparkSession)
-    stay = texts.join(gone, F.col("t") == F.col("gone"), "left_anti").select(F.col("t").alias("__t"), F.col("first").alias("__first"))
+    stay = texts if gone is None else texts.join(gone, F.col("t") == F.col("gone"), "left_anti")
+    stay = stay.select(F.col("t").alias("__t"), F.col("first").alias("__first"))
     stay = written(stay, "stay", "snappy")
     kept = docs.withColumn("__of", F.xxhash64(text_)).join(stay, (F.col("__of") == F.col("__t")) & F.col(key).eqNullSafe(F.col("__first"))).drop("__t", "__first")
     again = rows.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id"), F.col("t").alias("__again"))
