@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -12,15 +11,19 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but space and the five ASCII control spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Spark's setting for deleting shuffle files at the end of a query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, in local mode only, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = tempfile.mkdtemp(prefix="ledgerline-")
@@ -32,10 +35,18 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: a cut of the lineage that outlives executors."""
-    path = new_path(df.sparkSession, what)
-    df.write.option("compression", compression).parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written as Parquet in the shared folder and read again: a cut of the lineage that outlives executors.
+
+    What follows reads the files, so Spark is asked to delete the shuffle files of the writing plan when it ends.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark, what), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
     back._written_path = path
     return back
 
@@ -49,12 +60,6 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of plans whose results are written."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def words(text: Column) -> Column:
     """Array of the words of a text; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -18,6 +18,7 @@ without words. Null ids are in components but never name one. An empty table giv
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest
 
-from .common import GAP, discard, release, written
+from .common import GAP, discard, written
 from .components import connected_components
 
 BITS = 64
@@ -151,10 +152,18 @@ def allocated(work: list[dict[int, float]], most: int) -> tuple[float, list[int]
     return best[most - len(work) + 1]
 
 
-def flips(part: list[int], most: int) -> list[int]:
-    """Signed masks of up to `most` bits of a part."""
-    masks = [sum(1 << b for b in bits) for k in range(most + 1) for bits in itertools.combinations(part, k)]
-    return [m - (1 << BITS) if m >> 63 else m for m in masks]
+def flipped(prints: DataFrame, number: int, part: list[int], most: int) -> DataFrame:
+    """(asks, p, v): the part's value of every fingerprint, with up to `most` of its bits flipped.
+
+    Bits are picked one after another, each by its place above the last one's, so that a plan has one list of the
+    part's bits for each step, however many values there are.
+    """
+    bits = F.array(*[part_value(F.lit(-1).cast("long"), [b]) for b in part])
+    rows = prints.select(F.col("fp").alias("asks"), part_value(F.col("fp"), part).alias("v"), F.lit(0).alias("i"))
+    for _ in range(most):  # place 0 flips none, and nothing follows it
+        places = F.when(F.col("i") < 0, F.array(F.lit(-1))).otherwise(F.concat(F.array(F.lit(-1)), F.when(F.col("i") < len(part), F.sequence(F.col("i") + 1, F.lit(len(part)))).otherwise(F.array().cast("array<int>"))))
+        rows = rows.withColumn("i", F.explode(places)).withColumn("v", F.when(F.col("i") > 0, F.col("v").bitwiseXOR(F.element_at(bits, F.greatest("i", F.lit(1))))).otherwise(F.col("v")))
+    return rows.select("asks", F.lit(number).alias("p"), "v")
 
 
 def near_links(prints: DataFrame, most: int = 2, bucket_most: int = BUCKET_MOST) -> DataFrame:
@@ -162,6 +171,8 @@ def near_links(prints: DataFrame, most: int = 2, bucket_most: int = BUCKET_MOST)
     if most not in (2, 4):
         raise ValueError("links through points are made for 2 or 4 differing bits")
     total = prints.count()
+    if total < 2:
+        return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     both = bit_counts(prints)
     p = np.diag(both) / max(total, 1)
     plans = []
@@ -174,7 +185,7 @@ def near_links(prints: DataFrame, most: int = 2, bucket_most: int = BUCKET_MOST)
     entry = lambda i, value: F.struct(F.lit(i).alias("part"), value.alias("value"))
     fp = F.col("fp")
     index = prints.select("fp", F.explode(F.array(*[entry(i, part_value(fp, part)) for i, part, _ in used])).alias("at")).select("fp", "at.part", "at.value")
-    probes = prints.select("fp", F.explode(F.array(*[entry(i, part_value(fp, part).bitwiseXOR(F.lit(m))) for i, part, t in used for m in flips(part, t)])).alias("at")).select(F.col("fp").alias("asks"), F.col("at.part").alias("p"), F.col("at.value").alias("v"))
+    probes = reduce(DataFrame.union, [flipped(prints, i, part, t) for i, part, t in used])
     sizes = index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
     large = written(sizes.filter(F.col("n") > bucket_most).select(F.col("part").alias("lp"), F.col("value").alias("lv")), "large-parts", "snappy")
     in_large = lambda a, b: (F.col(a) == F.col("lp")) & (F.col(b) == F.col("lv"))
@@ -237,7 +248,6 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     asked = left.select(F.col("t").alias("of"))
     bodies = docs.select(F.xxhash64(text_).alias("t"), text_.alias("text")).join(asked, F.col("t") == F.col("of"), "left_semi").groupBy("t").agg(F.any_value("text").alias("text"))
     bodies = written(bodies, "bodies")
-    release(docs.sparkSession)
     gone = None
     while True:
         firsts = left.groupBy("root").agg(F.min(F.struct("first", "t")).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -256,7 +266,6 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
         gone = alike if gone is None else written(gone.union(alike), "gone", "snappy")
         for old in (first_texts, member_texts):
             discard(old)
-        release(docs.sparkSession)
     stay = texts if gone is None else texts.join(gone, F.col("t") == F.col("gone"), "left_anti")
     stay = stay.select(F.col("t").alias("__t"), F.col("first").alias("__first"))
     stay = written(stay, "stay", "snappy")

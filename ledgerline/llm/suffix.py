@@ -15,9 +15,10 @@ can hold the corpus's index, so it is cut where no match is lost:
 4. An anchor with more than CROWD distinct segments would outgrow a task. Its windows are hashed to 128 bits
    instead, one by one, and counted; so nothing is left out at any size.
 
-Hashes of 64 bits only bring candidates together, or name a segment with its anchor (128 bits in all) or a text
-with its size. A null text is the empty text. Rows with equal texts get equal results, a text that occurs twice
-is removed whole if it has `length` bytes. An empty table gives an empty result.
+Hashes of 64 bits only bring candidates together, or name a segment with its anchor (128 bits in all); a text is
+named by 128 bits and its size. A null text is the empty text. Rows with equal texts get equal results, a text that
+occurs twice is removed whole if it has `length` bytes; texts of any length are cut into segments in pieces that
+overlap by a window. Columns of docs named k or size are not carried along. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import discard, release, written
+from .common import discard, written
 
 LENGTH = 400
 #: Bytes of the hashed strings that anchors are chosen among.
@@ -239,17 +240,15 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, c
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     others = [c for c in docs.columns if c not in (text, "k", "size")]
-    rows = docs.select(*others, F.xxhash64(raw).alias("k"), F.length(raw).alias("size"))
-    keyed = docs.select(F.xxhash64(raw).alias("k"), F.length(raw).alias("size"), raw.alias("raw"))
+    rows = docs.select(*others, F.unhex(F.md5(raw)).alias("k"), F.length(raw).alias("size"))
+    keyed = docs.select(F.unhex(F.md5(raw)).alias("k"), F.length(raw).alias("size"), raw.alias("raw"))
     texts = written(keyed.groupBy("k", "size").agg(F.first("raw").alias("raw"), F.count(F.lit(1)).alias("copies")), "texts")
-    release(spark)
     found = written(texts.filter(F.col("size") >= length).select("k", "size", "copies", F.explode(segments(F.col("raw"), length)).alias("x")).select("k", "size", "copies", "x.*"), "segments", "snappy")
 
     anchors = found.groupBy(F.col("anchor").alias("common")).agg(F.sum("copies").alias("times"), (F.min("digest") != F.max("digest")).alias("several")).filter("times > 1").drop("times")
     anchors = written(anchors, "anchors", "snappy")
     shared = written(found.join(anchors, F.col("anchor") == F.col("common")).drop("common"), "shared", "snappy")
     discard(found)
-    release(spark)
     distinct = shared.groupBy("anchor", "digest").agg(F.sum("copies").alias("times"), F.first("several").alias("several"), F.min(F.struct("k", "size", "at", "n")).alias("one"))
     distinct = written(distinct, "distinct", "snappy")
     whole = distinct.filter("times > 1").select("anchor", "digest", F.array(F.lit(0), F.col("one.n")).alias("marks"))
@@ -262,7 +261,6 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, c
     contents = texts.join(fetched, (F.col("k") == F.col("of")) & (F.col("size") == F.col("of_size"))).select("raw", F.explode("xs").alias("x"))
     contents = contents.select("x.anchor", "x.digest", F.col("raw").substr(F.col("x.at") + 1, F.col("x.n") + (length - 1)).alias("content"))
     contents = written(contents, "contents")
-    release(spark)
     total = contents.agg(F.sum(F.length("content"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     crowds = contents.join(crowded, F.col("anchor") == F.col("common"), "left_semi")
@@ -274,7 +272,6 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, c
     marks = written(whole.union(marked).union(single).withColumnsRenamed({"anchor": "mark_anchor", "digest": "mark_digest"}), "marks", "snappy")
     for old in (contents, distinct):
         discard(old)
-    release(spark)
 
     hit = shared.join(marks, (F.col("anchor") == F.col("mark_anchor")) & (F.col("digest") == F.col("mark_digest")))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.size("marks") - 2, F.lit(2)), lambda i: F.shiftleft((F.col("at") + F.get("marks", i)).cast("long"), 32).bitwiseOR((F.col("at") + F.get("marks", i + 1) + (length - 1)).cast("long"))))
@@ -287,9 +284,12 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, c
 
 
 def repeat_report(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, **sizes) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, the SHA-256 of the bytes that stay, their number, and they themselves as text.
+
+    Where a removed run begins or ends within a character, what is left of it stands in kept_text as U+FFFD.
+    """
     rows, results = without_repeats(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text", length, **sizes)
-    results = results.select(F.col("k").alias("of"), F.col("size").alias("of_size"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    results = written(results, "repeats", "snappy")
+    results = results.select(F.col("k").alias("of"), F.col("size").alias("of_size"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.length("kept").cast("long").alias("kept_bytes"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
+    results = written(results, "repeats")
     out = rows.join(results, (F.col("k") == F.col("of")) & (F.col("size") == F.col("of_size")))
-    return out.select("doc_id", F.col("size").cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", F.col("size").cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "kept_bytes", "kept_text")

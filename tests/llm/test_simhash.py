@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import xxhash
@@ -63,7 +64,26 @@ def test_matches_brute_force_with_edge_cases(spark):
 
 
 def test_empty_table(spark):
-    assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.near_duplicates(empty).collect() == [] and simhash.one_of_each(empty).collect() == []
+
+
+def test_few_fingerprints_have_small_plans(spark):
+    for most in (2, 4):
+        for n in range(3):
+            df = spark.createDataFrame([(x, 1) for x in (5, 7)[:n]], "fp long, first long")
+            links = simhash.near_links(df, most)
+            assert len(links._jdf.queryExecution().logical().toString()) < 50_000
+            assert [tuple(sorted(x)) for x in links.collect()] == ([(5, 7)] if n == 2 else [])
+
+
+def test_flipped_bits_of_a_part(spark):
+    df = spark.createDataFrame([(-5,)], "fp long")
+    for part, most in (([0, 3, 63], 2), ([1, 2, 5, 9], 3), ([7, 8], 0), (list(range(16)), 4)):
+        mask = sum(1 << b for b in part)
+        own = -5 % 2**64 & mask
+        values = {x.v % 2**64 for x in simhash.flipped(df, 1, part, most).collect()}
+        assert values == {own ^ sum(1 << b for b in bits) for k in range(most + 1) for bits in itertools.combinations(part, k)}
 
 
 def test_crowded_parts_are_linked_through_points(spark):

@@ -18,14 +18,20 @@ def plain(texts, length):
             if times[r[i : i + length]] > 1:
                 gone[i : i + length] = True
         kept = bytes(np.frombuffer(r, np.uint8)[~gone])
-        out.append((len(r), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        out.append((len(r), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest(), len(kept)))
     return out
 
 
 def check(spark, texts, length, **sizes):
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, k int, size int")
-    got = {r.doc_id: tuple(r)[1:] for r in suffix.repeat_report(df, length=length, **sizes).collect()}
+    rows = suffix.repeat_report(df, length=length, **sizes).collect()
+    got = {r.doc_id: tuple(r)[1:6] for r in rows}
     assert [got[i] for i in range(len(texts))] == plain(texts, length)
+    for r in rows:
+        if r.n_removed == 0:
+            assert r.kept_text == (texts[r.doc_id] or "")
+        if "\ufffd" not in r.kept_text:
+            assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
 
 
 def corpus():
@@ -49,6 +55,11 @@ def test_matches_brute_force(spark, sizes):
     check(spark, corpus(), 100, **sizes)
 
 
+def test_whole_small_table(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    check(spark, texts, 400)
+
+
 def test_empty_table(spark):
     assert suffix.repeat_report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
