@@ -112,13 +112,16 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {licenses.canonical_sql("text")} AS form FROM documents),
-known AS (SELECT sha256({licenses.canonical_sql("t")}) AS digest, min(id) AS license_id FROM (VALUES {licenses.values_sql(licenses.LICENSES)}) v(id, t) GROUP BY 1),
-notes AS (SELECT {licenses.canonical_sql("t")} AS form, min(id) AS notice_id FROM (VALUES {licenses.values_sql(licenses.NOTICES)}) v(id, t) GROUP BY 1),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {licenses.whole_sql("text")} AS form FROM documents),
+known AS (
+  SELECT digest, min(id) AS license_id
+  FROM (SELECT sha256({licenses.whole_sql("t")}) AS digest, id FROM (VALUES {licenses.values_sql(licenses.TEXTS)}) v(id, t)
+        UNION ALL SELECT * FROM (VALUES {licenses.values_sql(licenses.DIGESTS.items())}) w) GROUP BY 1),
+notes AS (SELECT {licenses.line_sql("t")} AS form, min(id) AS notice_id FROM (VALUES {licenses.values_sql(licenses.NOTICES)}) v(id, t) GROUP BY 1),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 n AS (
   SELECT r, string_agg(DISTINCT notice_id, ',' ORDER BY notice_id) AS notice_ids, count(*) AS n_notices
-  FROM l JOIN notes ON {licenses.canonical_sql("line")} = notes.form GROUP BY r)
+  FROM l JOIN notes ON {licenses.line_sql("line")} = notes.form GROUP BY r)
 SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS canonical_digest, license_id,
        coalesce(notice_ids, '') AS notice_ids, coalesce(n_notices, 0)::BIGINT AS n_notices
 FROM d LEFT JOIN known ON form <> '' AND sha256(form) = known.digest LEFT JOIN n USING (r)

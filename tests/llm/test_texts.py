@@ -1,5 +1,8 @@
 import hashlib
+import os
+import pathlib
 import random
+import re
 
 import corpus_pipeline
 from ledgerline.llm import licenses, lines, spotsigs
@@ -7,16 +10,43 @@ from ledgerline.llm import licenses, lines, spotsigs
 SF = "/root/testdata/sf0.001"
 
 
+def rewrapped(text, width):
+    """The text's words in lines of another width, without its commas, quotes and blank lines."""
+    words, lines = re.sub("[,;'\"“”]", "", text).split(), [""]
+    for w in words:
+        lines = [*lines[:-1], f"{lines[-1]} {w}"] if len(lines[-1]) + len(w) < width else [*lines, w]
+    return "\n".join(lines)
+
+
 def test_licenses_by_canonical_text(spark):
-    mit = licenses.LICENSES["MIT"]
-    rows = [
-        (1, "MIT License is not here\n" + mit), (2, "Copyright (c) 2020 A. Person\n\n" + mit.replace(" ", "  ").upper()), (3, licenses.LICENSES["ISC"].replace('"AS IS"', "'as is'")),
-        (4, "text\nReleased under the MIT Licence!\nAll rights reserved"), (4, None), (None, ""), (5, "Copyright 2020 B"), (6, "word " * 30000), (2, "x"), (2, "x"),
-    ]
+    rows, expected = [], {}
+    add = lambda text, license_id, notices="": expected.update({len(rows): (license_id, notices)}) or rows.append((len(rows), text))
+    for name, text in licenses.TEXTS:
+        add(text, name)
+    for name, text in licenses.LICENSES.items():
+        add("Copyright (c) 2020 A. Person\nAll rights reserved.\n\n" + text.replace(" ", "  ").upper(), name, "all-rights-reserved")
+        add(rewrapped(text, 30), name)
+        add(rewrapped(text, 77).replace("license", "licence").replace("\n", "\n * "), name)
+        add(text + " And one more word.", None)
+        add(text[:10] + "q" + text[10:], None)
+    folder = "/usr/share/common-licenses"
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(f"{folder}/{file}"):
+            text = pathlib.Path(f"{folder}/{file}").read_text()
+            add(text, name)
+            add(text.upper().replace("\n\n", "\n\n\n"), name)
+    add("text\nReleased under the MIT Licence!\nAll rights reserved " + "-" * 150, None, "MIT,all-rights-reserved")
+    add("x\n// SPDX-License-Identifier: BSD-3-Clause\nThis software is distributed under\nLicensed under the terms of the GNU General Public License, version 3", None, "BSD-3-Clause,GPL-3.0")
+    add("This work is licensed under the MIT License and others", None)
+    for text in (None, "", "Copyright 2020 B", "word " * 30000, "likewise\nnoise"):
+        add(text, None)
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, license_id string")
-    got = {(r.doc_id, r.license_id, r.notice_ids) for r in licenses.scanned(df).collect()}
-    assert got == {(1, None, ""), (2, "MIT", ""), (3, "ISC", ""), (4, None, "MIT,all-rights-reserved"), (4, None, ""), (None, None, ""), (5, None, ""), (6, None, ""), (2, None, "")}
-    assert licenses.scanned(df).count() == len(rows) and licenses.scanned(df.limit(0)).collect() == []
+    got = {r.doc_id: r for r in licenses.scanned(df).collect()}
+    assert {i: (r.license_id, r.notice_ids) for i, r in got.items()} == expected
+    twice = spark.createDataFrame([(None, "x"), (1, "likewise noise"), (1, "likewise\n noise,"), (1, "likewise noise")], "doc_id long, text string")
+    out = licenses.scanned(twice).collect()
+    assert len(out) == 4 and len({r.canonical_digest for r in out}) == 2
+    assert licenses.scanned(df.limit(0)).collect() == []
 
 
 def test_spotsigs_next_document_and_likeness(spark):
