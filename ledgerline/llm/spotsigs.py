@@ -1,11 +1,20 @@
-"""SpotSigs fingerprints of documents, in built-in functions only.
+"""SpotSigs fingerprints of documents and their near-duplicate classes, in built-in functions only.
 
 A signature is a common word, the anchor, with the next CHAIN content words after it; common words between are
-passed over, at most SPAN words are looked at. A document's fingerprint names its set of signatures. Two
-documents are compared by the Jaccard similarity of their sets; a pair whose sizes alone keep it below a floor is
-not intersected. A text without anchors has one signature, of its whole words, so that it equals only its like.
-
-A null text is the empty text, which has the one signature of no words. An empty table gives an empty result.
+passed over, at most SPAN words are looked at. A document's fingerprint names its set of signatures by 128 bits. A
+text without anchors has one signature, of its whole words, so that it equals only its like.
+
+Two documents are near duplicates where the Jaccard similarity of their sets is `similarity` or more. Sets are
+partitioned by their length, so that near duplicates are in one partition or in two that follow each other. Each set
+is listed under its rarest signatures, as many as two near duplicates can't all differ in, in its own and the next
+partition. Those listed together are compared if their lengths allow the similarity: first each with the smallest of
+its list, then, in lists that hold several components by then, all of different components, in blocks. So every link
+between different sets is found or lies within a component; equal sets are one from the start. A list of very many
+sets that are not alike costs as many comparisons of lengths as it has pairs. A class is a connected component.
+
+A null text is the empty text, which has the one signature of no words. Very long texts need memory in proportion to
+their own length. Keys are whole numbers; rows equal in key and text get equal results. Only key and text are read, so
+that names of other columns clash with nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, written
+from .common import GAP, discard, written
+from .components import connected_components
 
 #: Common words of English, German, French and Spanish: fixed values.
 ANCHORS = (
@@ -27,6 +37,11 @@ SPAN = 10
 #: Documents that share a range of ids in the search for each one's successor.
 RANGE_ROWS = 1000
 MOST_RANGES = 4096
+SIMILARITY = 0.8
+#: Signatures are counted in so many groups to tell rare from common ones: one row of counts, of half a megabyte.
+COUNTED = 1 << 16
+#: Sets of a list that are compared with so many others in one place.
+BLOCK = 256
 
 
 def signatures(text: Column, frame: DataFrame, name: str) -> DataFrame:
@@ -42,8 +57,10 @@ def signatures(text: Column, frame: DataFrame, name: str) -> DataFrame:
 
 
 def fingerprint(signs: Column) -> Column:
-    """The size of a set of signatures and a hash of its members in order."""
-    return F.concat(F.size(signs).cast("string"), F.lit("-"), F.lower(F.lpad(F.hex(F.xxhash64(F.sort_array(signs))), 16, "0")))
+    """The size of a set of signatures and 128 bits of hashes of its members in order."""
+    sixteen = lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))
+    ordered = F.sort_array(signs)
+    return F.concat(F.size(signs).cast("string"), F.lit("-"), sixteen(F.xxhash64(ordered)), sixteen(F.xxhash64(F.lit(1), ordered)))
 
 
 def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
@@ -81,8 +98,90 @@ def with_next(docs: DataFrame, key: str, text: str, out: str) -> DataFrame:
     return all_rows.withColumn(out, F.lead("t").over(within)).filter("copy = 0").select(F.col("k").alias(key), F.col("t").alias(text), out)
 
 
+def listed(sets: DataFrame, similarity: float) -> DataFrame:
+    """(list, id, n): each set of `sets` (id, signs) under each of its rarest signatures, in its length partition and the next.
+
+    Two sets of n and m signatures, n the larger, with the similarity have at least similarity * n in common, so they
+    share one of the first n - ceil(similarity * n) + 1 of each, in any one order of all signatures.
+    """
+    groups = sets.select(F.explode("signs").alias("s")).groupBy(F.pmod("s", F.lit(COUNTED)).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    counts = groups.agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"))
+    counts = F.broadcast(written(counts.select(F.transform(F.sequence(F.lit(0), F.lit(COUNTED - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("counts")), "signature-counts"))
+    n = F.size("signs")
+    rare = F.sort_array(F.transform("signs", lambda s: F.struct(F.get("counts", F.pmod(s, F.lit(COUNTED)).cast("int")).alias("n"), s.alias("s"))))
+    length = F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / similarity)) + F.lit(1e-9)).cast("int")
+    first = (n - F.ceil(similarity * n - F.lit(1e-9)) + 1).cast("int")
+    rows = sets.crossJoin(counts).select("id", n.alias("n"), length.alias("length"), F.slice(rare, F.lit(1), first).alias("firsts"))
+    rows = rows.select("id", "n", "length", F.explode("firsts.s").alias("s"))
+    return rows.select("id", "n", F.explode(F.array(F.xxhash64("s", "length"), F.xxhash64("s", F.col("length") + 1))).alias("list"))
+
+
+def alike(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have the similarity."""
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "asked", "snappy")
+    asked_sets = written(sets.join(asked, F.col("id") == F.col("of"), "left_semi"), "asked-sets")
+    both = pairs.join(asked_sets.select(F.col("id").alias("ia"), F.col("signs").alias("sa")), F.col("a") == F.col("ia"))
+    both = both.join(asked_sets.select(F.col("id").alias("ib"), F.col("signs").alias("sb")), F.col("b") == F.col("ib"))
+    links = written(both.filter(likeness(F.col("sa"), F.col("sb"), similarity) >= similarity).select("a", "b"), "links", "snappy")
+    discard(asked)
+    discard(asked_sets)
+    return links
+
+
+def set_classes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) for each id of `sets` (id, signs; every set once) that is linked to another, root the smallest id of its class."""
+    entries = listed(sets, similarity)
+    shared = written(entries.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("one")).filter("n > 1").select(F.col("list").alias("of"), F.col("n").alias("sets"), "one"), "shared-lists", "snappy")
+    entries = written(entries.join(shared, F.col("list") == F.col("of")).select("list", "id", "n", "sets", "one"), "listed", "snappy")
+    firsts = entries.select(F.col("id").alias("of"), F.col("n").alias("m")).distinct()
+    pairs = written(entries.filter(F.col("id") != F.col("one")).select(F.col("one").alias("a"), F.col("id").alias("b"), "n").distinct(), "first-pairs", "snappy")
+    sizes = written(firsts, "sizes", "snappy")
+    pairs = pairs.join(sizes, F.col("a") == F.col("of")).filter(F.least("n", "m") >= similarity * F.greatest("n", "m")).select("a", "b")
+    pairs = written(pairs, "pairs", "snappy")
+    roots = written(connected_components(alike(sets, pairs, similarity)), "roots", "snappy")
+    rows = entries.join(roots, F.col("id") == F.col("node"), "left").select("list", "id", "n", "sets", F.coalesce("root", "id").alias("root"))
+    rows = written(rows, "rooted", "snappy")
+    mixed = written(rows.groupBy("list").agg((F.min("root") < F.max("root")).alias("several")).filter("several").select(F.col("list").alias("of")), "mixed", "snappy")
+    blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
+    rows = rows.join(mixed, F.col("list") == F.col("of"), "left_semi").select("list", "id", "n", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    rows = written(rows, "mixed-sets", "snappy")
+    one = rows.select("list", F.struct("id", "n", "root").alias("one"), F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"))
+    other = rows.select("list", F.struct("id", "n", "root").alias("other"), F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), "block")).alias("x"))
+    met = (F.col("one.root") != F.col("other.root")) & ((F.col("l.x") < F.col("l.y")) | (F.col("one.id") < F.col("other.id")))
+    met = met & (F.least("one.n", "other.n") >= similarity * F.greatest("one.n", "other.n"))
+    same = (F.col("l.list") == F.col("r.list")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
+    rest = one.alias("l").join(other.alias("r"), same & met).select(F.least("one.id", "other.id").alias("a"), F.greatest("one.id", "other.id").alias("b")).distinct()
+    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest", "snappy")
+    links = alike(sets, rest, similarity)
+    return written(connected_components(links.union(roots.select("root", "node"))), "classes", "snappy")
+
+
+def with_classes(rows: DataFrame, key: str = "doc_id", signs: str = "own", similarity: float = SIMILARITY) -> DataFrame:
+    """rows with class_id, the smallest key of the row's near-duplicate class, itself included; the rows' `fingerprint` names their sets.
+
+    rows are read several times, so they should stand in files.
+    """
+    names = written(rows.groupBy("fingerprint").agg(F.min(F.struct(F.col(key).isNull(), F.col(key).alias("key"))).alias("x")).select(F.col("fingerprint").alias("of"), F.col("x.key").alias("first")), "set-names", "snappy")
+    names = written(names.withColumn("id", F.monotonically_increasing_id()), "set-ids", "snappy")
+    sets = rows.select(key, "fingerprint", signs).join(names, (F.col("fingerprint") == F.col("of")) & F.col(key).eqNullSafe(F.col("first")))
+    sets = written(sets.groupBy("id").agg(F.any_value(signs).alias("signs")), "sets")
+    classes = set_classes(sets, similarity)
+    discard(sets)
+    named = names.join(classes, F.col("id") == F.col("node"), "left").select("of", "first", F.coalesce("root", "id").alias("root"))
+    least = written(named.groupBy("root").agg(F.min("first").alias("class_id")).withColumnRenamed("root", "class"), "class-names", "snappy")
+    named = written(named.join(least, F.col("root") == F.col("class")).select("of", "class_id"), "set-classes", "snappy")
+    return rows.join(named, F.col("fingerprint") == F.col("of")).drop("of")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, fingerprint, class_id) for every row of docs."""
+    rows = signatures(F.col("text"), docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "own")
+    rows = written(rows.select("doc_id", fingerprint(F.col("own")).alias("fingerprint"), "own"), "signed")
+    return with_classes(rows, similarity=similarity).select("doc_id", "fingerprint", "class_id")
+
+
 def edited_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: its fingerprint, that of the text with its last half replaced by the next document's start, and how alike they are."""
+    """Per document: its fingerprint, that of the text with its last half replaced by the next document's start, how alike they are, and class_id."""
     rows = with_next(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", "next")
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
@@ -91,10 +190,12 @@ def edited_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = signatures(F.col("edited"), rows, "changed")
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
     rows = signatures(F.col("next"), rows, "following")
-    return rows.select(
+    rows = rows.select(
         "doc_id", "n_chars", "edited_sha256",
         fingerprint(F.col("own")).alias("fingerprint"),
         fingerprint(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
         likeness(F.col("own"), F.col("following")).alias("near_next"),
+        "own",
     )
+    return with_classes(written(rows, "signed")).drop("own")

@@ -68,6 +68,73 @@ def test_spotsigs_next_document_and_likeness(spark):
     assert spotsigs.edited_report(df.limit(0)).collect() == []
 
 
+ANCHORS = set(spotsigs.ANCHORS)
+
+
+def plain_signatures(text):
+    words = [w for w in re.split("[ \t-\r]+", re.sub("[!-/:-@\\[-`{-~]+", "", (text or "").lower())) if w]
+    found = {(w, *[x for x in words[i + 1 : i + 11] if x not in ANCHORS][:2]) for i, w in enumerate(words) if w in ANCHORS}
+    return frozenset(found or {("whole text", *words)})
+
+
+def plain_likeness(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_spotsigs_match_brute_force(spark):
+    rng = random.Random(6)
+    vocab = ["the", "and", "of", "der", "que"] * 20 + [f"x{i}" for i in range(400)] + ["Ünd,", "It's"]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    base = [text(n) for n in (30, 60, 120, 240, 240, 400)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for i in range(240):  # groups that grow together, and fade out of each other's reach
+        words = rng.choice(rows)[1].split(" ")
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(vocab)
+        rows.append((10 + i, " ".join(words)))
+    rows += [(900, None), (901, ""), (902, "!"), (903, "no common word"), (904, "No common, word"), (905, "the end"), (906, "the end"), (None, "the end"), (None, base[0]), (907, text(9000)), (5, base[1])]
+    sets = [plain_signatures(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if plain_likeness(sets[i], sets[j]) >= 0.8:
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, own int, fingerprint string")
+    got = spotsigs.near_duplicates(df).collect()
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in got) == sorted((str(d), str(least.get(root(i)))) for i, (d, _) in enumerate(rows))
+    assert len(set(least.values())) > 20
+    names = {}
+    for r in got:
+        if r.doc_id is not None and r.doc_id != 5:
+            names[r.doc_id] = r.fingerprint
+    same = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None and d != 5:
+            assert same.setdefault(sets[i], names[d]) == names[d]
+    assert len(set(same.values())) == len(same)
+    assert spotsigs.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_spotsigs_report_of_a_whole_table(spark):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    order = sorted(rows, key=lambda r: -r[0])
+    got = {r.doc_id: r for r in spotsigs.edited_report(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        half = len(text) // 2
+        own, edited, following = (plain_signatures(x) for x in (text, text[: len(text) - half] + after[:half], after))
+        assert abs(got[i].near_edited - plain_likeness(own, edited)) < 1e-9 and abs(got[i].near_next - plain_likeness(own, following)) < 1e-9
+
+
 def plain_lines(rows, similarity=0.8):
     """All pairs of lines by their shingle sets; the first of each component stays."""
     import re
