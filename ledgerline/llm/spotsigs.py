@@ -105,8 +105,9 @@ def listed(sets: DataFrame, similarity: float) -> DataFrame:
     share one of the first n - ceil(similarity * n) + 1 of each, in any one order of all signatures.
     """
     groups = sets.select(F.explode("signs").alias("s")).groupBy(F.pmod("s", F.lit(COUNTED)).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    counts = groups.agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"))
-    counts = F.broadcast(written(counts.select(F.transform(F.sequence(F.lit(0), F.lit(COUNTED - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("counts")), "signature-counts"))
+    every = sets.sparkSession.range(COUNTED).join(groups, F.col("id") == F.col("at"), "left").select(F.struct("id", F.coalesce("n", F.lit(0)).alias("n")).alias("x"))
+    counts = every.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["n"]).alias("counts"))
+    counts = F.broadcast(written(counts, "signature-counts"))  # one row
     n = F.size("signs")
     rare = F.sort_array(F.transform("signs", lambda s: F.struct(F.get("counts", F.pmod(s, F.lit(COUNTED)).cast("int")).alias("n"), s.alias("s"))))
     length = F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / similarity)) + F.lit(1e-9)).cast("int")
