@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PRIORITY = {"logistic_regression": 1, "random_forest": 2, "hist_gradient_boosting": 3}
+PRIORITY = {"logistic_regression": 1, "random_forest": 2, "hist_gradient_boosting": 3, "gradient_boosting": 3}
 SCORE_RANGES = 256
 
 

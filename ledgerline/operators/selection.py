@@ -48,14 +48,17 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r): absolute Pearson correlation of each two columns over the rows that have both, a before b.
 
     Each task sums masked products into p x p matrices, whose cells are added up by Spark: the shuffle is one row
-    per cell and task, however many rows there are. r is null where a variance is 0.
+    per cell and task, however many rows there are. Values are taken from the column's least one, so that a spread that
+    is small against the values is not lost, and a column of one value has no variance. r is null where a variance is 0.
     """
     p = len(columns)
+    least = df.agg(*[F.min(F.col(c).cast("double")).alias(c) for c in columns]).first()
+    least = np.array([0.0 if least is None or v is None or not np.isfinite(v) else v for v in (least or [None] * p)])
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((4, p, p))
         for batch in batches:
-            x = batch[columns].to_numpy(float)
+            x = batch[columns].to_numpy(float) - least
             there = (~np.isnan(x)).astype(float)
             x = np.nan_to_num(x)
             total += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])

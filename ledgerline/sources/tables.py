@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -11,27 +13,38 @@ from ..plans.panel import COLUMNS, NUMERIC
 
 #: Headers of company lists and what they mean: fixed values.
 LIST_ALIASES = {
-    "company_name": ("company_name", "company name", "company", "name", "borrower name", "name of borrower", "borrower"),
-    "cin": ("cin", "cin number", "cin no", "corporate identification number", "company cin"),
+    "company_name": ("company name", "company_name", "borrower name", "borrower", "name of borrower", "name"),
+    "cin": ("cin", "corporate identification number", "company registration number", "registration number", "company id"),
 }
+#: More spellings of the same, of this library's own.
+MORE_ALIASES = {"company_name": ("company",), "cin": ("cin number", "cin no", "company cin")}
 #: Texts of a CSV that mean a missing value: fixed values.
 NULL_TOKENS = ("", "NA", "N/A", "nan", "NaN", "null", "NULL", "None", "n/a", "-nan", "#N/A")
 
 
-def read_company_list(spark: SparkSession, path: str, company_name_column: str | None = None, cin_column: str | None = None, encoding: str = "UTF-8") -> DataFrame:
+def read_company_list(spark: SparkSession, path: str, company_name_column: str | None = None, cin_column: str | None = None, encoding: str | None = None) -> DataFrame:
     """(company_name, cin, source_row) of CSV files by flexible headers; rows without a name go.
 
     source_row numbers the rows of one file from 0 before any goes; for several files it numbers them in file order.
+    Without an encoding, files are read as UTF-8, or where that leaves characters that it can't read, as ISO-8859-1.
     """
-    raw = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).csv(path)
+    read = lambda code: spark.read.option("header", True).option("encoding", code).option("multiLine", True).csv(path)
+    raw = read(encoding or "UTF-8")
+    if encoding is None:
+        unread = [F.contains(F.col(f"`{c}`"), F.lit("\ufffd")) for c in raw.columns]
+        if any("\ufffd" in c for c in raw.columns) or not raw.filter(reduce(Column.__or__, [F.coalesce(c, F.lit(False)) for c in unread])).isEmpty():
+            raw = read("ISO-8859-1")
     heads = {" ".join(c.lower().split()): c for c in raw.columns}
-    find = lambda given, kind: given if given in raw.columns else next((heads[a] for a in LIST_ALIASES[kind] if a in heads), None)
+    find = lambda given, kind: given if given in raw.columns else next((heads[a] for a in (*LIST_ALIASES[kind], *MORE_ALIASES[kind]) if a in heads), None)
     name, cin = find(company_name_column, "company_name"), find(cin_column, "cin")
     if name is None:
         raise ValueError(f"no company name column among {', '.join(raw.columns)}")
-    names = raw.columns
-    numbered = raw.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(StructType(raw.schema.fields).add("source_row", "long"))
-    rows = numbered.toDF(*names, "source_row").select(
+    numbered = raw.withColumn("__id", F.monotonically_increasing_id())  # a task's number, then 33 bits that count its rows
+    task, row = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    earlier = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task of the read
+    before = numbered.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__rows")).select("__task", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
+    numbered = numbered.join(F.broadcast(before), task == F.col("__task")).withColumn("source_row", F.col("__before") + row)
+    rows = numbered.select(
         normalize_text(F.col(f"`{name}`")).alias("company_name"),
         (normalize_cin(F.col(f"`{cin}`")) if cin else F.lit(None).cast("string")).alias("cin"),
         "source_row",

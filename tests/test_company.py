@@ -138,3 +138,37 @@ def test_queries_and_sql_have_the_same_names():
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert "risk_flags_latest" in __spark_entry__.queries()
+
+
+def test_figures_and_names_in_prose(spark):
+    from ledgerline.operators import extract
+
+    cases = {
+        "promoter_pct": [("Promoters and Group: 45.20 %", 45.2), ("PROMOTER 51", 51.0), ("62.5 % of the shares by promoter", 62.5), ("7% promoter", 7.0), ("no such thing 5", None), (None, None)],
+        "rpt_amount": [("related  party dealings, amount: 1,200.50 in all", 1200.5), ("RPT of Rs. 30", 30.0), ("12,000 crore with a related party", 12000.0), ("4 cr. related party", 4.0), ("related party only", None)],
+        "contingent_amount": [("Contingent liabilities not provided for Rs. 9,100", 9100.0), ("contingent liability INR: 5.", 5.0), ("7.25 cr. of contingent claims", 7.25), ("contingent 8", None)],
+    }
+    for name, rows in cases.items():
+        df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i long, t string")
+        got = {r.i: r.x for r in df.select("i", getattr(extract, name)(F.col("t")).alias("x")).collect()}
+        assert got == {i: x for i, (_, x) in enumerate(rows)}, name
+    rows = [("Statutory Auditor: A. Smith & Co for the year", "A. Smith & Co"), ("auditor report: Jones and Sons\nnext", "Jones and Sons"), ("by M/s Rao-Iyer, Chartered Accountants", "Rao-Iyer"), ("nobody here", None), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i long, t string")
+    assert {r.i: r.x for r in df.select("i", extract.auditor_name(F.col("t")).alias("x")).collect()} == {i: x for i, (_, x) in enumerate(rows)}
+
+
+def test_correlation_of_large_values_with_a_small_spread(spark):
+    from ledgerline.operators import selection
+
+    rows = [(1e9 + i % 7, 5e8 - i % 7, 0.1, float(i * i % 11)) for i in range(500)]
+    got = {(r.a, r.b): r.r for r in selection.correlation_matrix(spark.createDataFrame(rows, "p double, q double, same double, s double"), ["p", "q", "same", "s"]).collect()}
+    assert abs(got["p", "q"] - 1) < 1e-9 and got["p", "same"] is None and got["p", "s"] < 0.5
+
+
+def test_company_list_of_another_encoding(spark, tmp_path):
+    from ledgerline.sources import tables
+
+    path = tmp_path / "list.csv"
+    path.write_bytes("Borrower Name,Company Registration Number\nSociété Été,L27100MH1995PLC084207\n,\nZwei,-\n".encode("latin-1"))
+    got = [(r.company_name, r.cin, r.source_row) for r in tables.read_company_list(spark, str(path)).orderBy("source_row").collect()]
+    assert got == [("Société Été", "L27100MH1995PLC084207", 0), ("Zwei", None, 2)]
