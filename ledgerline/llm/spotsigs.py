@@ -8,9 +8,11 @@ Two documents are near duplicates where the Jaccard similarity of their sets is
 partitioned by their length, so that near duplicates are in one partition or in two that follow each other. Each set
 is listed under its rarest signatures, as many as two near duplicates can't all differ in, in its own and the next
 partition. Those listed together are compared if their lengths allow the similarity: first each with the smallest of
-its list, then, in lists that hold several components by then, all of different components, in blocks. So every link
-between different sets is found or lies within a component; equal sets are one from the start. A list of very many
-sets that are not alike costs as many comparisons of lengths as it has pairs. A class is a connected component.
+its list, then, in lists that hold several components by then, all of different components, in blocks. There a pair
+is passed over by the sets' bitmaps, of WORDS * 64 bits, each signature flipping one: where they differ in more bits
+than two near duplicates can have signatures apart. So every link between different sets is found or lies within a
+component; equal sets are one from the start. A list of very many sets that are not alike costs as many comparisons of
+bitmaps as it has pairs. A class is a connected component.
 
 A null text is the empty text, which has the one signature of no words. Very long texts need memory in proportion to
 their own length. Keys are whole numbers; rows equal in key and text get equal results. Only key and text are read, so
@@ -42,6 +44,8 @@ SIMILARITY = 0.8
 COUNTED = 1 << 16
 #: Sets of a list that are compared with so many others in one place.
 BLOCK = 256
+#: Numbers of 64 bits in a set's bitmap.
+WORDS = 8
 
 
 def signatures(text: Column, frame: DataFrame, name: str) -> DataFrame:
@@ -117,6 +121,25 @@ def listed(sets: DataFrame, similarity: float) -> DataFrame:
     return rows.select("id", "n", F.explode(F.array(F.xxhash64("s", "length"), F.xxhash64("s", F.col("length") + 1))).alias("list"))
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(of, bits): for each set, numbers in which each of its signatures has flipped one bit of WORDS * 64.
+
+    The bits in which two bitmaps differ are never more than the signatures that only one of the sets has.
+    """
+    rows = sets.select("id", F.explode("signs").alias("s"))
+    bit = F.expr("shiftleft(1L, cast(pmod(s, 64) AS INT))")
+    at = F.pmod(F.shiftright("s", 6), F.lit(WORDS))
+    words = [F.bit_xor(F.when(at == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(WORDS)]
+    return rows.groupBy("id").agg(*words).select(F.col("id").alias("of"), F.struct(*[f"b{k}" for k in range(WORDS)]).alias("bits"))
+
+
+def bits_apart(a: Column, b: Column) -> Column:
+    out = F.lit(0)
+    for k in range(WORDS):
+        out = out + F.bit_count(a[f"b{k}"].bitwiseXOR(b[f"b{k}"]))
+    return out
+
+
 def alike(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose sets have the similarity."""
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "asked", "snappy")
@@ -146,10 +169,15 @@ def set_classes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
     rows = rows.join(mixed, F.col("list") == F.col("of"), "left_semi").select("list", "id", "n", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
     rows = written(rows, "mixed-sets", "snappy")
-    one = rows.select("list", F.struct("id", "n", "root").alias("one"), F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"))
-    other = rows.select("list", F.struct("id", "n", "root").alias("other"), F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), "block")).alias("x"))
+    asked = written(rows.select(F.col("id").alias("of")).distinct(), "mixed-asked", "snappy")
+    maps = written(bitmaps(sets.join(asked, F.col("id") == F.col("of"), "left_semi")), "bitmaps", "snappy")
+    rows = written(rows.join(maps, F.col("id") == F.col("of")).drop("of"), "mapped-sets", "snappy")
+    one = rows.select("list", F.struct("id", "n", "root", "bits").alias("one"), F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"))
+    other = rows.select("list", F.struct("id", "n", "root", "bits").alias("other"), F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), "block")).alias("x"))
     met = (F.col("one.root") != F.col("other.root")) & ((F.col("l.x") < F.col("l.y")) | (F.col("one.id") < F.col("other.id")))
     met = met & (F.least("one.n", "other.n") >= similarity * F.greatest("one.n", "other.n"))
+    most_apart = (F.col("one.n") + F.col("other.n")) * ((1 - similarity) / (1 + similarity)) + F.lit(1e-9)
+    met = met & (bits_apart(F.col("one.bits"), F.col("other.bits")) <= most_apart)
     same = (F.col("l.list") == F.col("r.list")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
     rest = one.alias("l").join(other.alias("r"), same & met).select(F.least("one.id", "other.id").alias("a"), F.greatest("one.id", "other.id").alias("b")).distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest", "snappy")
