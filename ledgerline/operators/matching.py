@@ -34,8 +34,19 @@ def token_sort_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def block_keys(name: Column) -> Column:
-    """Blocking keys: the first three letters of each word that is not a legal form."""
-    return F.array_distinct(F.transform(F.filter(F.split(strip_company_suffix(name), " "), lambda w: F.length(w) >= 3), lambda w: F.substring(w, 1, 3)))
+    """Blocking keys: the first and the last three letters of each word of three or more, and of all words in order without spaces.
+
+    A name without such a word has its words as keys, too. Legal forms don't count, except in a name that has nothing
+    else. So names of short words meet, and a wrong letter at one end of a word leaves the key of the other end.
+    """
+    bare = strip_company_suffix(name)
+    words = F.array_sort(F.split(F.when(F.trim(bare) == "", normalize_name(name)).otherwise(bare), " "))
+    words = F.filter(words, lambda w: w != "")
+    long = F.filter(words, lambda w: F.length(w) >= 3)
+    ends = F.filter(F.concat(long, F.array(F.array_join(words, ""))), lambda w: w != "")
+    first = F.transform(ends, lambda w: F.concat(F.lit("^"), F.substring(w, 1, 3)))
+    last = F.transform(ends, lambda w: F.concat(F.lit("$"), F.substring(w, -3, 3)))
+    return F.array_distinct(F.concat(first, last, F.when(F.size(long) == 0, words).otherwise(F.array().cast("array<string>"))))
 
 
 def fuzzy_match_names(left: DataFrame, right: DataFrame, threshold: float = 60, blocks: int = 16) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .features import build_features
 from .rules import RULES, hybrid_decision
+from .training import Trained
 
 #: Features compared with the sector's median, in order; True where more is worse. Fixed values.
 PEER_FEATURES = {
@@ -67,11 +68,23 @@ def linear_contributions(df: DataFrame, coefficients: dict[str, float], out: str
     return df.withColumn(out, F.transform(F.slice(positive, 1, limit), lambda x: F.concat(F.lit("The model weighs "), x["feature"], F.lit(" as a risk."))))
 
 
-def score_years(features: DataFrame, threshold: float = 0.5, reference: DataFrame | None = None, rules=RULES) -> DataFrame:
-    """Every company-year with probability, reasons, decision and imputed share."""
-    rows = heuristic_reasons(features, reference if reference is not None else sector_reference(features))
-    rows = rows.withColumns({"probability": stand_in_probability(), "imputed_feature_fraction": imputed_fraction()})
-    return hybrid_decision(rows, "probability", threshold, "model_reasons", rules)
+def score_years(features: DataFrame, threshold: float | None = None, reference: DataFrame | None = None, rules=RULES, model: Trained | None = None) -> DataFrame:
+    """Every company-year with probability, reasons, decision and imputed share.
+
+    With a trained model its probability, threshold, inputs and sector medians count, and a linear model's own reasons
+    where it has any; else the stand-in score at 0.5. What is given by hand goes before the model's.
+    """
+    if model is None:
+        rows = heuristic_reasons(features, reference if reference is not None else sector_reference(features))
+        rows = rows.withColumns({"probability": stand_in_probability(), "imputed_feature_fraction": imputed_fraction()})
+        return hybrid_decision(rows, "probability", 0.5 if threshold is None else threshold, "model_reasons", rules)
+    reference = reference if reference is not None else model.reference
+    peers = ensure_schema(features, dict.fromkeys([*PEER_FEATURES, *model.columns], "double"))
+    rows = heuristic_reasons(peers, reference if reference is not None else sector_reference(peers), "__peers")
+    rows = model.applied(rows.withColumn("imputed_feature_fraction", imputed_fraction(model.columns)))
+    own = F.col("model_reasons") if "model_reasons" in rows.columns else F.array().cast("array<string>")
+    rows = rows.withColumn("model_reasons", F.when(F.size(own) > 0, own).otherwise(F.col("__peers"))).drop("__peers")
+    return hybrid_decision(rows, "probability", model.threshold if threshold is None else threshold, "model_reasons", rules)
 
 
 YEAR_FIELDS = ("financial_year", "ml_probability", "ml_class", "risk_band", "rule_flag_count", "critical_rule_count", "rule_flags_triggered", "top_reasons", "support_summary", "imputed_feature_fraction")
@@ -105,9 +118,15 @@ def roll_up(years: DataFrame, known_sectors: list[str] | None = None) -> DataFra
     return rows.select(F.trim("last.company_name").alias("company_name"), "cin", "years_received", F.col("last.financial_year").alias("latest_financial_year"), *[f"last.{c}" for c in ("ml_probability", "model_threshold", "ml_class", "risk_band", "rule_flags_triggered", "rule_flag_count", "top_reasons", "support_summary", "framing_message")], "yearwise_scores", warnings.alias("warnings"))
 
 
-def score_companies(raw: DataFrame, threshold: float = 0.5, reference: DataFrame | None = None, known_sectors: list[str] | None = None) -> DataFrame:
-    """Raw company-years to scored companies; within a cin the history goes by company name."""
-    return roll_up(score_years(build_features(raw, ["cin", "company_name"]), threshold, reference), known_sectors)
+def score_companies(raw: DataFrame, threshold: float | None = None, reference: DataFrame | None = None, known_sectors: list[str] | None = None, model: Trained | None = None) -> DataFrame:
+    """Raw company-years to scored companies, by a trained model or the stand-in; within a cin the history goes by company name.
+
+    With a model its name is a column, and its training sectors are the known ones.
+    """
+    years = score_years(build_features(raw, ["cin", "company_name"]), threshold, reference, model=model)
+    if model is None:
+        return roll_up(years, known_sectors)
+    return roll_up(years, list(model.sectors) if known_sectors is None else known_sectors).withColumn("model_name", F.lit(model.name))
 
 
 def flatten_scores(scores: DataFrame) -> DataFrame:

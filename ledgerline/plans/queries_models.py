@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import quality, scoring, selection, training
+from ..sources.tables import new_path
 from . import panel
 from .catalog import query
-from .queries_features import FEATURES_SQL, rows
+from .queries_features import FEATURES_SQL, ID, IDS, rows
 from .queries_lists import COHORT_SQL, both_cohorts
 from .queries_scores import P_SQL
 
@@ -246,9 +248,16 @@ def choose_production(spark, sf_dir):
 INPUTS = ["current_ratio", "debt_to_assets", "interest_coverage", "net_profit_margin", "cash_flow_to_debt", "equity_ratio"]
 
 
+#: Points of the grids that the registered queries fit: the whole forest and boosting grids take too long for a query.
+FOREST_POINTS = [x | {"numTrees": 20, "maxDepth": 5} for x in training.FOREST_GRID[:2]]
+BOOSTING_POINTS = [training.BOOSTING_GRID[0] | {"maxIter": 10}]
+
+
 def fitted(spark, sf_dir, name, grid):
-    df = selection.company_split(rows(spark, sf_dir)).select("target_wilful_default", "sector", "split", *INPUTS)
-    return training.fit_grid(df.filter("split = 'train'"), df.filter("split = 'val'"), name, grid, INPUTS)
+    df = selection.company_split(rows(spark, sf_dir))
+    train, val, test = (df.filter(F.col("split") == x) for x in ("train", "val", "test"))
+    narrow = lambda x: x.select("target_wilful_default", "sector", *INPUTS)
+    return training.fit_grid(narrow(train), narrow(val), name, grid, INPUTS, test=narrow(test), reference=scoring.sector_reference(train))
 
 
 @query()
@@ -260,16 +269,51 @@ def train_logistic(spark, sf_dir):
 @query()
 def train_forest(spark, sf_dir):
     """The leaderboard row of two small points of the forest's grid."""
-    return training.leaderboard(spark, [fitted(spark, sf_dir, "random_forest", [x | {"numTrees": 20} for x in training.FOREST_GRID[:2]])[1]])
+    return training.leaderboard(spark, [fitted(spark, sf_dir, "random_forest", FOREST_POINTS)[1]])
 
 
 @query()
 def train_boosting(spark, sf_dir):
     """The leaderboard row of a small point of the boosting grid."""
-    return training.leaderboard(spark, [fitted(spark, sf_dir, "gradient_boosting", [training.BOOSTING_GRID[0] | {"maxIter": 10}])[1]])
+    return training.leaderboard(spark, [fitted(spark, sf_dir, "hist_gradient_boosting", BOOSTING_POINTS)[1]])
+
+
+@query()
+def leaderboard(spark, sf_dir):
+    """All three models with their validation and test metrics, and which one goes to production."""
+    grids = {"logistic_regression": training.LOGISTIC_GRID, "random_forest": FOREST_POINTS, "hist_gradient_boosting": BOOSTING_POINTS}
+    results = [fitted(spark, sf_dir, name, grid)[1] for name, grid in grids.items()]
+    chosen = training.production(spark, results).select(F.col("model").alias("chosen"))
+    board = training.leaderboard(spark, results)
+    return board.join(chosen, F.col("model") == F.col("chosen"), "left").withColumn("production", F.col("chosen").isNotNull()).drop("chosen")
 
 
 @query()
 def feature_diagnostics(spark, sf_dir):
-    """A logistic model's coefficients by size."""
-    return training.feature_diagnostics(spark, fitted(spark, sf_dir, "logistic_regression", training.LOGISTIC_GRID[:1])[0], INPUTS)
+    """The coefficients of the logistic model that the grid's choice on validation companies gives, by size."""
+    return training.feature_diagnostics(spark, fitted(spark, sf_dir, "logistic_regression", training.LOGISTIC_GRID)[0])
+
+
+@query()
+def score_with_model(spark, sf_dir):
+    """Every company scored by the logistic model of the training companies, which is saved and loaded in between."""
+    path = new_path(spark, "model")
+    fitted(spark, sf_dir, "logistic_regression", training.LOGISTIC_GRID)[0].save(path)
+    scores = scoring.score_companies(panel.company_years(spark, sf_dir), model=training.load(spark, path))
+    return scores.select("cin", "model_name", "latest_financial_year", "years_received", "ml_probability", "model_threshold", "risk_band", F.array_join("top_reasons", " | ").alias("top_reasons"), F.array_join("warnings", " | ").alias("warnings"))
+
+
+SHOWN = ["current_ratio", "net_profit_margin"]
+PREPROCESS_SQL = f"""{FEATURES_SQL}, parted AS (SELECT *, {SPLIT_SQL} AS split FROM row_features),
+known AS (SELECT {', '.join(f"median({c}) AS m_{c}" for c in SHOWN)} FROM parted WHERE split = 'train'),
+filled AS (SELECT {IDS}, split, {', '.join(f"coalesce({c}, m_{c}) AS {c}" for c in SHOWN)} FROM parted, known),
+spread AS (SELECT {', '.join(f"avg({c}) AS a_{c}, stddev_samp({c}) AS d_{c}" for c in SHOWN)} FROM filled WHERE split = 'train')"""
+
+
+@query(f"WITH {PREPROCESS_SQL} SELECT {IDS}, {', '.join(f'round(({c} - a_{c}) / d_{c}, 6) AS {c}' for c in SHOWN)} FROM filled, spread")
+def preprocess(spark, sf_dir):
+    """Two inputs of all company-years after imputing by the training medians and scaling by the training spread."""
+    df = selection.company_split(rows(spark, sf_dir))
+    model = training.preprocess(df.filter("split = 'train'"), SHOWN)
+    vector = vector_to_array(F.col("features"))
+    return model.transform(df).select(*ID, *[F.round(vector[i], 6).alias(c) for i, c in enumerate(SHOWN)])

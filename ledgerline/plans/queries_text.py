@@ -198,13 +198,10 @@ def read_company_years(spark, sf_dir):
 @query()
 def incremental_score(spark, sf_dir):
     """The incremental job over the company-years in two batches of files; its latest scores."""
-    import tempfile
-    import uuid
-
+    from ..sources.tables import new_path
     from ..streaming import incremental
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ledgerline-')}"
-    base = f"{shared.rstrip('/')}/incremental-{uuid.uuid4().hex}"
+    base = new_path(spark, "incremental")
     years = panel.company_years(spark, sf_dir)
     for batch in ("financial_year <= 1996", "financial_year > 1996"):
         years.filter(batch).write.mode("append").parquet(f"{base}/incoming")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +24,16 @@ MORE_ALIASES = {"company_name": ("company",), "cin": ("cin number", "cin no", "c
 NULL_TOKENS = ("", "NA", "N/A", "nan", "NaN", "null", "NULL", "None", "n/a", "-nan", "#N/A")
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share; in local mode only, a temporary one where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='ledgerline-')}"
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def read_company_list(spark: SparkSession, path: str, company_name_column: str | None = None, cin_column: str | None = None, encoding: str | None = None) -> DataFrame:
     """(company_name, cin, source_row) of CSV files by flexible headers; rows without a name go.
 

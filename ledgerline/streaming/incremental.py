@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.cohorts import dedupe_first
 from ..operators.scoring import score_companies
+from ..operators.training import Trained
 
 KEYS = ["cin", "financial_year"]
 
@@ -21,7 +22,7 @@ def existing(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-def take_batch(batch: DataFrame, batch_id: int, facts: str, scores: str, threshold: float = 0.5) -> None:
+def take_batch(batch: DataFrame, batch_id: int, facts: str, scores: str, threshold: float | None = None, model: Trained | None = None) -> None:
     """Append the batch's new company-years and the new scores of their companies.
 
     A year that is there already is passed over, so that a batch that comes again changes nothing: its facts are
@@ -35,13 +36,13 @@ def take_batch(batch: DataFrame, batch_id: int, facts: str, scores: str, thresho
     new = spark.read.parquet(f"{facts}/batch_id={batch_id}").select(*batch.columns)
     touched = new.select("cin").distinct()
     history = before.drop("batch_id").join(touched, "cin", "left_semi").unionByName(new)
-    score_companies(history, threshold).write.mode("overwrite").parquet(f"{scores}/batch_id={batch_id}")
+    score_companies(history, threshold, model=model).write.mode("overwrite").parquet(f"{scores}/batch_id={batch_id}")
 
 
-def incremental_score(spark: SparkSession, source: str, schema: StructType, facts: str, scores: str, checkpoint: str, threshold: float = 0.5) -> StreamingQuery:
-    """Start the job over a folder of Parquet files; it takes what is there and ends."""
+def incremental_score(spark: SparkSession, source: str, schema: StructType, facts: str, scores: str, checkpoint: str, threshold: float | None = None, model: Trained | None = None) -> StreamingQuery:
+    """Start the job over a folder of Parquet files; it takes what is there, scores it by the model (without one by the stand-in) and ends."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(source)
-    return stream.writeStream.foreachBatch(lambda df, i: take_batch(df, i, facts, scores, threshold)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda df, i: take_batch(df, i, facts, scores, threshold, model)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_scores(spark: SparkSession, scores: str) -> DataFrame:
