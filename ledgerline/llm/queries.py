@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, lines, mixing, quality, sharding, simhash, spotsigs, suffix, warc
+from . import bpe, licenses, lines, merkle, mixing, quality, sharding, simhash, spotsigs, suffix, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,6 +156,56 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and whether it still folds to the root where a fifth of texts have changed."""
+    return merkle.documents_manifest(table(spark, sf_dir, "documents"))
+
+
+def field_sql(value: str) -> str:
+    return f"coalesce(strlen({value})::VARCHAR || ':' || {value}, '-')"
+
+
+def leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(field_sql(v) for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+
+
+#: The CRC-32 of a short text: eight shifts for each byte, by the polynomial of zlib.
+CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+OP11_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {leaf_sql("text")} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {CRC_SQL} % 5 = 0 THEN {leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS found
+  FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+t AS (
+  SELECT 0 AS lvl, source, pos, leaf AS digest, n FROM l
+  UNION ALL
+  SELECT lvl + 1, source, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (n + 15) // 16 FROM t WHERE n > 1 GROUP BY lvl, source, pos // 16, n),
+s AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lvl, pos, subroot AS digest, n FROM s
+  UNION ALL
+  SELECT lvl + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (n + 15) // 16 FROM u WHERE n > 1 GROUP BY lvl, pos // 16, n),
+top AS (SELECT digest AS root FROM u WHERE n = 1),
+runs AS (SELECT source, lvl, pos // 16 AS run, list(digest ORDER BY pos) AS nodes FROM t WHERE n > 1 GROUP BY ALL),
+tops AS (SELECT lvl, pos // 16 AS run, list(digest ORDER BY pos) AS nodes FROM u WHERE n > 1 GROUP BY ALL),
+steps AS (
+  SELECT r, lvl AS step, 1 + (pos // (16 ** lvl)::BIGINT) % 16 AS at, nodes FROM l JOIN runs ON l.source IS NOT DISTINCT FROM runs.source AND pos // (16 ** (lvl + 1))::BIGINT = run
+  UNION ALL
+  SELECT r, 100 + lvl, 1 + (s.pos // (16 ** lvl)::BIGINT) % 16, nodes FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source JOIN tops ON s.pos // (16 ** (lvl + 1))::BIGINT = run),
+placed AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY step) AS k, array_to_string(nodes[1:at - 1], '') AS before, array_to_string(nodes[at + 1:], '') AS after FROM steps),
+proof AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY k)) AS proof_sha256 FROM placed GROUP BY r),
+fold AS (
+  SELECT r, 0 AS k, coalesce(found, leaf) AS digest FROM l
+  UNION ALL
+  SELECT fold.r, fold.k + 1, sha256(before || digest || after) FROM fold JOIN placed ON placed.r = fold.r AND placed.k = fold.k + 1),
+folded AS (SELECT r, arg_max(digest, k) AS folded_root FROM fold GROUP BY r)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source JOIN folded USING (r) LEFT JOIN proof USING (r), top
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
@@ -167,6 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_spotsigs": op9_spotsigs,
     "op10_fuzzy_lines": op10_fuzzy_lines,
+    "op11_merkle": op11_merkle,
 }
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -179,4 +230,4 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
        CASE WHEN first IS NULL OR page_id = first THEN NULL ELSE first END AS refers_to
 FROM bits
 """
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_source_mixing": OP4_SQL, "op5_license_scan": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_quality_rules": OP2_SQL, "op4_source_mixing": OP4_SQL, "op5_license_scan": OP5_SQL, "op11_merkle": OP11_SQL}
