@@ -191,10 +191,10 @@ top AS (SELECT digest AS root FROM u WHERE n = 1),
 runs AS (SELECT source, lvl, pos // 16 AS run, list(digest ORDER BY pos) AS nodes FROM t WHERE n > 1 GROUP BY ALL),
 tops AS (SELECT lvl, pos // 16 AS run, list(digest ORDER BY pos) AS nodes FROM u WHERE n > 1 GROUP BY ALL),
 steps AS (
-  SELECT r, lvl AS step, 1 + (pos // (16 ** lvl)::BIGINT) % 16 AS at, nodes FROM l JOIN runs ON l.source IS NOT DISTINCT FROM runs.source AND pos // (16 ** (lvl + 1))::BIGINT = run
+  SELECT r, lvl AS step, 1 + (pos // (16 ** lvl)::BIGINT) % 16 AS place, nodes FROM l JOIN runs ON l.source IS NOT DISTINCT FROM runs.source AND pos // (16 ** (lvl + 1))::BIGINT = run
   UNION ALL
   SELECT r, 100 + lvl, 1 + (s.pos // (16 ** lvl)::BIGINT) % 16, nodes FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source JOIN tops ON s.pos // (16 ** (lvl + 1))::BIGINT = run),
-placed AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY step) AS k, array_to_string(nodes[1:at - 1], '') AS before, array_to_string(nodes[at + 1:], '') AS after FROM steps),
+placed AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY step) AS k, array_to_string(nodes[1:place - 1], '') AS before, array_to_string(nodes[place + 1:], '') AS after FROM steps),
 proof AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY k)) AS proof_sha256 FROM placed GROUP BY r),
 fold AS (
   SELECT r, 0 AS k, coalesce(found, leaf) AS digest FROM l
