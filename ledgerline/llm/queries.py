@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, lines, merkle, mixing, quality, sharding, simhash, spotsigs, suffix, warc, whitening
+from . import bpe, flatgraph, licenses, lines, merkle, mixing, quality, sharding, simhash, spotsigs, suffix, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,6 +161,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.documents_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_flatgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's near duplicates by robust-pruned graphs on overlapping shards: their number, and the component's smallest id."""
+    return flatgraph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's place along the eight leading components, whitened, by Chebyshev-filtered subspace iteration."""
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
@@ -223,6 +228,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_spotsigs": op9_spotsigs,
     "op10_fuzzy_lines": op10_fuzzy_lines,
     "op11_merkle": op11_merkle,
+    "op12_flatgraph": op12_flatgraph,
     "op13_whitening": op13_whitening,
 }
 OP1_SQL = """
