@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import RANGE_ROWS, prefix_sums
+
 PRIORITY = {"logistic_regression": 1, "random_forest": 2, "hist_gradient_boosting": 3, "gradient_boosting": 3}
-SCORE_RANGES = 256
 
 
 def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
@@ -69,23 +70,12 @@ def confusion_metrics(df: DataFrame, threshold: float, y: str = "y", p: str = "p
     })
 
 
-def score_counts(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """Per distinct score: positives and negatives, and those with a higher score.
-
-    Scores are dealt to ranges, whose totals are summed over at most SCORE_RANGES rows; within a range a window
-    sums its own scores, so no task holds all of them.
-    """
+def score_counts(df: DataFrame, y: str = "y", p: str = "p", rows_per_range: int = RANGE_ROWS) -> DataFrame:
+    """Per distinct score: positives and negatives, and those with a higher score, by prefix sums over sampled ranges of the scores."""
     counts = df.groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-    counts = counts.withColumn("range", F.least(F.floor(F.col("p") * SCORE_RANGES), F.lit(SCORE_RANGES - 1)).cast("int"))
-    higher = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    ranges = counts.groupBy("range").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))
-    whole = Window.partitionBy()
-    ranges = ranges.select(F.col("range").alias("r"), F.coalesce(F.sum("rp").over(higher), zero).alias("rp_above"), F.coalesce(F.sum("rn").over(higher), zero).alias("rn_above"), F.sum("rp").over(whole).alias("all_pos"), F.sum("rn").over(whole).alias("all_neg"))
-    within = Window.partitionBy("range").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = counts.withColumns({"wp": F.coalesce(F.sum("pos").over(within), zero), "wn": F.coalesce(F.sum("neg").over(within), zero)})
-    rows = rows.join(F.broadcast(ranges), F.col("range") == F.col("r"))  # SCORE_RANGES rows at most
-    return rows.select("p", "pos", "neg", (F.col("wp") + F.col("rp_above")).alias("pos_above"), (F.col("wn") + F.col("rn_above")).alias("neg_above"), "all_pos", "all_neg")
+    rows = prefix_sums(counts, [], ["p"], ["pos", "neg"], rows_per_range)
+    above = lambda c: (F.col(f"{c}_total") - F.col(f"{c}_before") - F.col(c)).alias(f"{c}_above")
+    return rows.select("p", "pos", "neg", above("pos"), above("neg"), F.col("pos_total").alias("all_pos"), F.col("neg_total").alias("all_neg"))
 
 
 def roc_auc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_listed, is_valid_cin, normalize_name, normalize_text, number, parse_year
+from .ranges import exact_medians
 
 
 def dataset_summary(df: DataFrame, label: str = "target_wilful_default", company: str = "cin") -> DataFrame:
@@ -100,8 +101,9 @@ def constant_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def median_impute_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    row = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("median")) for c in columns])).alias("x")).select("x.*")
+    """(feature, median) of every column, null where it has no value."""
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    return names.join(exact_medians(df, columns), "feature", "left").select("feature", "median")
 
 
 def mode_impute_stats(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -148,5 +150,5 @@ def data_quality_score(df: DataFrame, columns: list[str], company: list[str], mo
 def sector_median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing values filled by the median of year and sector, joined from a table of one row per group."""
     keys = ["sector", "financial_year"]
-    medians = df.groupBy(*keys).agg(*[F.percentile(c, F.lit(0.5)).alias(f"__{c}") for c in columns])
+    medians = exact_medians(df, columns, keys).groupBy(*keys).agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(f"__{c}") for c in columns])
     return df.join(medians, keys, "left").withColumns({f"{c}_imputed": F.coalesce(c, f"__{c}") for c in columns}).drop(*[f"__{c}" for c in columns])

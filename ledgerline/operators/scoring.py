@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import build_features
+from .ranges import exact_medians
 from .rules import RULES, hybrid_decision
 from .training import Trained
 
@@ -45,9 +46,7 @@ def stand_in_probability() -> Column:
 
 def sector_reference(df: DataFrame, features=tuple(PEER_FEATURES)) -> DataFrame:
     """(sector, feature, median) over the values that are there; pairs without any are left out."""
-    medians = df.groupBy("sector").agg(*[F.percentile(f, F.lit(0.5)).alias(f) for f in features])
-    long = medians.select("sector", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("median")) for f in features])).alias("x"))
-    return long.select("sector", "x.feature", "x.median").filter(F.col("median").isNotNull())
+    return exact_medians(df, list(features), ["sector"])
 
 
 def heuristic_reasons(df: DataFrame, reference: DataFrame, out: str = "model_reasons", limit: int = 3) -> DataFrame:

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import RANGE_ROWS, prefix_sums, stored
+
 FRACTIONS = {"train": 0.70, "val": 0.15, "test": 0.15}
 
 
@@ -30,13 +32,43 @@ def company_split(df: DataFrame, company: str = "cin", fractions: dict[str, floa
     return df.withColumn("split", split.otherwise(list(fractions)[-1]))
 
 
+def stratified_split(df: DataFrame, label: str, company: str = "cin", fractions: dict[str, float] = FRACTIONS, seed: int = 42, rows_per_range: int = RANGE_ROWS) -> DataFrame:
+    """df with a column `split`: of each label's companies exactly the fractions, in the order of a hash of their ids.
+
+    One row for each company is ranked within its label over ranges of the hash, so that two labels are not two tasks. A
+    company with several labels has the largest. The counts are checked: every split has two classes or more, and
+    they add up to all companies; otherwise it is an error, as on a table of one class.
+    """
+    companies = df.groupBy(F.col(company).alias("__company")).agg(F.max(label).alias("__label"))
+    companies = companies.withColumns({"__hash": F.md5(F.concat("__company", F.lit(f":{seed}")).cast("binary")), "n": F.lit(1).cast("long")})
+    placed, bound, split = prefix_sums(companies, ["__label"], ["__hash", "__company"], ["n"], rows_per_range), 0.0, None
+    for name, f in fractions.items():
+        bound += f
+        inside = F.col("n_before") < F.floor(F.col("n_total") * round(bound, 12) + 0.5)
+        split = F.when(inside, name) if split is None else split.when(inside, name)
+    placed = stored(placed.select("__company", "__label", split.otherwise(list(fractions)[-1]).alias("split")), "splits")
+    counts = placed.groupBy("split").agg(F.countDistinct("__label").alias("labels"), F.count(F.lit(1)).alias("n")).collect()  # one row a split
+    if short := sorted(set(fractions) - {r["split"] for r in counts if r["labels"] > 1}):
+        raise ValueError(f"splits of fewer than two classes: {', '.join(short)}")
+    if (total := sum(r["n"] for r in counts)) != placed.count():
+        raise ValueError(f"splits hold {total} companies")
+    placed = placed.drop("__label")
+    return df.join(placed, F.col(company).eqNullSafe(F.col("__company"))).drop("__company")
+
+
 def split_counts(df: DataFrame, label: str) -> DataFrame:
     """Companies and rows by split and label, to see that every split has both classes."""
     return df.groupBy("split", label).agg(F.countDistinct("cin").alias("n_companies"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def temporal_split(df: DataFrame, last_train_year: int, year: str = "financial_year") -> DataFrame:
-    return df.withColumn("split", F.when(F.col(year) <= last_train_year, "train").otherwise("test"))
+def temporal_split(df: DataFrame, last_train_year: int, default_year: str = "default_year", company: str = "cin", train_share: float = 0.7, seed: int = 42) -> DataFrame:
+    """Training on companies of earlier default years, testing on later ones; all years of a company fall on one side.
+
+    A company's default year is its first. Companies without one are dealt by a hash of their id.
+    """
+    first = F.min(default_year).over(Window.partitionBy(company))
+    train = F.when(first.isNotNull(), first <= last_train_year).otherwise(hash_share(F.col(company), seed) < train_share)
+    return df.withColumn("split", F.when(train, "train").otherwise("test"))
 
 
 def leakage_cutoff(df: DataFrame, years: int = 3, default_year: str = "default_year") -> DataFrame:

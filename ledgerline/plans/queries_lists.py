@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import cohorts, matching
+from ..sources import tables
 from . import download_plan as dp
 from .catalog import query
 from .panel import table
@@ -105,21 +106,34 @@ def guarded_ratios(spark, sf_dir):
 
 
 @query(f"WITH {MESSY_SQL} SELECT trim(raw_name) AS company_name, {CIN_SQL} AS cin, k AS source_row FROM messy WHERE trim(coalesce(raw_name, '')) <> ''")
-def read_company_list(spark, sf_dir):
+def cleaned_company_list(spark, sf_dir):
     return cohorts.cleaned_list(messy(spark, sf_dir), "raw_name", "raw_cin", "k")
 
 
+@query(f"""WITH {MESSY_SQL}, l AS (SELECT k, raw_cin, CASE k % 4 WHEN 0 THEN raw_name || 'Société' WHEN 1 THEN raw_name || ', "Nord"' || chr(10) || 'Süd' WHEN 2 THEN ' ' ELSE raw_name END AS raw_name FROM messy)
+SELECT trim(raw_name) AS company_name, {CIN_SQL} AS cin, CASE WHEN k % 3 = 0 THEN 'latin' ELSE 'unicode' END AS kind FROM l WHERE trim(raw_name) <> ''""")
+def read_company_list(spark, sf_dir):
+    """Company lists written in two orders of columns, under two sets of headers and in two encodings, and read back at once."""
+    k, base = F.col("k"), tables.new_path(spark, "company-lists")
+    name = F.when(k % 4 == 0, F.concat("raw_name", F.lit("Société"))).when(k % 4 == 1, F.concat("raw_name", F.lit(', "Nord"\nSüd'))).when(k % 4 == 2, " ").otherwise(F.col("raw_name"))
+    rows = messy(spark, sf_dir).select("k", name.alias("name"), F.coalesce("raw_cin", F.lit("")).alias("cin"), "sector")
+    write = lambda df, code, kind: df.write.option("header", True).option("escape", '"').option("encoding", code).csv(f"{base}/{kind}")
+    write(rows.filter("k % 3 = 0").select(F.col("cin").alias("Corporate Identification Number"), "sector", F.col("name").alias("Name of  Borrower")), "ISO-8859-1", "latin")
+    write(rows.filter("k % 3 <> 0").select(F.col("name").alias("Company Name"), "sector", F.col("cin").alias("CIN")), "UTF-8", "unicode")
+    return tables.read_company_list(spark, base).select("company_name", "cin", F.regexp_extract("file", "/(latin|unicode)/", 1).alias("kind"))
+
+
 LIST_SQL = f"{MESSY_SQL}, list AS (SELECT trim(raw_name) AS company_name, {CIN_SQL} AS cin, k AS source_row FROM messy)"
 
 
 @query(f"WITH {LIST_SQL} SELECT * FROM list WHERE cin IS NOT NULL")
 def rows_with_cin(spark, sf_dir):
-    return cohorts.rows_with_cin(read_company_list(spark, sf_dir))
+    return cohorts.rows_with_cin(cleaned_company_list(spark, sf_dir))
 
 
 @query(f"WITH {LIST_SQL} SELECT * FROM list WHERE cin IS NULL")
 def rows_missing_cin(spark, sf_dir):
-    return cohorts.rows_missing_cin(read_company_list(spark, sf_dir))
+    return cohorts.rows_missing_cin(cleaned_company_list(spark, sf_dir))
 
 
 DONE_SQL = f"{LIST_SQL}, done AS (SELECT cin, CASE WHEN source_row % 3 = 0 THEN 'success' ELSE 'failed' END AS status FROM list WHERE cin IS NOT NULL)"
@@ -131,12 +145,12 @@ def done(spark, sf_dir):
 
 @query(f"WITH {DONE_SQL} SELECT * FROM list WHERE cin IS NOT NULL AND cin NOT IN (SELECT cin FROM done WHERE status = 'success')")
 def pending_companies(spark, sf_dir):
-    return cohorts.pending_companies(read_company_list(spark, sf_dir), done(spark, sf_dir))
+    return cohorts.pending_companies(cleaned_company_list(spark, sf_dir), done(spark, sf_dir))
 
 
 @query(f"WITH {DONE_SQL}, s AS (SELECT DISTINCT cin FROM done WHERE status = 'success') SELECT count(*) AS with_cin, count(s.cin) AS done, count(*) - count(s.cin) AS pending FROM list LEFT JOIN s USING (cin) WHERE list.cin IS NOT NULL")
 def pipeline_status(spark, sf_dir):
-    return cohorts.pipeline_status(read_company_list(spark, sf_dir), done(spark, sf_dir))
+    return cohorts.pipeline_status(cleaned_company_list(spark, sf_dir), done(spark, sf_dir))
 
 
 @query(f"""WITH {LIST_SQL}, r AS (SELECT 'CUSTOMER#' || lpad(k::VARCHAR, 9, '0') || '   Pvt.  Ltd' AS n, 'U' || lpad(k::VARCHAR, 5, '0') || 'DL2001PTC' || lpad(k::VARCHAR, 6, '0') AS c FROM messy WHERE k % 2 = 0)
@@ -147,7 +161,7 @@ def fill_cin_from_resolved(spark, sf_dir):
     code = lambda mark: F.concat(F.lit(mark), F.lpad(k.cast("string"), 5, "0"), F.lit("DL2001PTC"), F.lpad(k.cast("string"), 6, "0")).alias("cin")
     name = F.trim("raw_name").alias("company_name")
     resolved = found.select(name, code("X"), F.lit(1).alias("seq")).unionByName(found.select(name, code("U"), F.lit(2).alias("seq")))
-    return cohorts.fill_cin_from_resolved(read_company_list(spark, sf_dir), resolved)
+    return cohorts.fill_cin_from_resolved(cleaned_company_list(spark, sf_dir), resolved)
 
 
 COHORT_SQL = """defaulters AS (

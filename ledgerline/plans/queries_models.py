@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
-from ..operators import quality, scoring, selection, training
+from ..operators import quality, ranges, scoring, selection, training
 from ..sources.tables import new_path
 from . import panel
 from .catalog import query
@@ -141,13 +141,31 @@ SPLIT_SQL = f"CASE WHEN {SHARE_SQL} < 0.7 THEN 'train' WHEN {SHARE_SQL} < 0.85 T
 
 
 @query(f"WITH {panel.SQL} SELECT cin, financial_year, {SPLIT_SQL} AS split FROM company_year")
-def company_split(spark, sf_dir):
+def company_split_by_hash(spark, sf_dir):
     return selection.company_split(panel.company_years(spark, sf_dir)).select("cin", "financial_year", "split")
 
 
-@query(f"WITH {panel.SQL} SELECT split, cohort, count(DISTINCT cin) AS n_companies, count(*) AS n_rows FROM (SELECT *, {SPLIT_SQL} AS split FROM company_year) GROUP BY 1, 2")
+STRATIFIED_SQL = f"""{panel.SQL}, companies AS (SELECT cin, max(cohort) AS label FROM company_year GROUP BY 1),
+placed AS (SELECT cin, row_number() OVER (PARTITION BY label ORDER BY md5(cin || ':42'), cin) - 1 AS place, count(*) OVER (PARTITION BY label) AS n FROM companies),
+splits AS (SELECT cin, CASE WHEN place < floor(n * 0.7::DOUBLE + 0.5) THEN 'train' WHEN place < floor(n * 0.85::DOUBLE + 0.5) THEN 'val' ELSE 'test' END AS split FROM placed)"""
+
+
+@query(f"WITH {STRATIFIED_SQL} SELECT cin, financial_year, split FROM company_year JOIN splits USING (cin)")
+def company_split(spark, sf_dir):
+    return selection.stratified_split(panel.company_years(spark, sf_dir), "cohort").select("cin", "financial_year", "split")
+
+
+@query(f"WITH {STRATIFIED_SQL} SELECT split, cohort, count(DISTINCT cin) AS n_companies, count(*) AS n_rows FROM company_year JOIN splits USING (cin) GROUP BY 1, 2")
 def split_counts(spark, sf_dir):
-    return selection.split_counts(selection.company_split(panel.company_years(spark, sf_dir)), "cohort")
+    return selection.split_counts(selection.stratified_split(panel.company_years(spark, sf_dir), "cohort"), "cohort")
+
+
+@query(f"""WITH {panel.SQL}, v AS (SELECT cin, financial_year, sector, floor(revenue / 20000) AS size FROM company_year)
+SELECT *, rank() OVER w AS rank, percent_rank() OVER w AS percent_rank, count(*) OVER (PARTITION BY sector) AS group_rows FROM v WINDOW w AS (PARTITION BY sector ORDER BY size DESC)""")
+def rank_within_sector(spark, sf_dir):
+    """Company-years by size within their sector, many of them tied."""
+    df = panel.company_years(spark, sf_dir).select("cin", "financial_year", "sector", F.floor(F.col("revenue") / 20000).cast("double").alias("size"))
+    return ranges.rank_within(df, "sector", "size")
 
 
 @query(f"WITH {panel.SQL} SELECT cin, financial_year, revenue FROM company_year WHERE cin IN (SELECT cin FROM (SELECT DISTINCT cin, {SPLIT_SQL} AS split FROM company_year) WHERE split = 'val')")
@@ -157,9 +175,11 @@ def split_membership(spark, sf_dir):
     return df.join(members, "cin", "left_semi").select("cin", "financial_year", "revenue")
 
 
-@query(f"WITH {panel.SQL} SELECT cin, financial_year, CASE WHEN financial_year <= 1997 THEN 'train' ELSE 'test' END AS split FROM company_year")
+@query(f"""WITH {panel.SQL}, d AS (SELECT cin, financial_year, CASE WHEN cohort = 'defaulter' THEN 1995 + ascii(right(cin, 1)) % 6 END AS default_year FROM company_year)
+SELECT cin, financial_year, CASE WHEN coalesce(min(default_year) OVER (PARTITION BY cin) <= 1997, {SHARE_SQL} < 0.7) THEN 'train' ELSE 'test' END AS split FROM d""")
 def temporal_split(spark, sf_dir):
-    return selection.temporal_split(panel.company_years(spark, sf_dir), 1997).select("cin", "financial_year", "split")
+    df = panel.company_years(spark, sf_dir).withColumn("default_year", F.when(F.col("cohort") == "defaulter", 1995 + F.ascii(F.right("cin", F.lit(1))) % 6))
+    return selection.temporal_split(df, 1997).select("cin", "financial_year", "split")
 
 
 @query(f"WITH {panel.SQL} SELECT cin, financial_year FROM company_year WHERE cohort <> 'defaulter' OR financial_year <= 2001 - 3")

@@ -94,7 +94,7 @@ ITEM_SQL = f"""items AS (
     CASE WHEN l_quantity > 3 THEN l_extendedprice END AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 patterns AS (SELECT * FROM (VALUES {', '.join(str(x) for x in PATTERNS)}) v(field, rank, pattern)),
 matched AS (
-  SELECT cin, financial_year, field, arg_min(value, rank * 1000000000000 + row_pos) AS value FROM items JOIN patterns ON contains(lower(label), pattern) OR contains(pattern, lower(label))
+  SELECT cin, financial_year, field, first(value ORDER BY rank, row_pos, value) AS value FROM items JOIN patterns ON contains(lower(label), pattern) OR contains(pattern, lower(label))
   WHERE value IS NOT NULL GROUP BY ALL)"""
 
 
@@ -115,6 +115,13 @@ def match_line_items(spark, sf_dir):
     return matched(spark, sf_dir)
 
 
+@query(f"""WITH {ITEM_SQL} SELECT cin, financial_year, field, first(value ORDER BY row_pos, value) * 0.01::DOUBLE AS value FROM items JOIN patterns ON contains(lower(label), pattern) WHERE value IS NOT NULL GROUP BY ALL""")
+def match_report_items(spark, sf_dir):
+    """The report variant: the first row of any pattern, amounts from lakhs to crores."""
+    patterns = spark.createDataFrame(PATTERNS, "field string, rank int, pattern string")
+    return extract.match_line_items(items(spark, sf_dir), patterns, "report", 0.01)
+
+
 FIELDS = list(dict.fromkeys(x[0] for x in PATTERNS))
 
 

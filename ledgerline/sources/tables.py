@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import normalize_cin, normalize_text, number
 from ..plans.panel import COLUMNS, NUMERIC
+from .company_files import read_files
 
 #: Headers of company lists and what they mean: fixed values.
 LIST_ALIASES = {
@@ -35,31 +35,19 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 
 def read_company_list(spark: SparkSession, path: str, company_name_column: str | None = None, cin_column: str | None = None, encoding: str | None = None) -> DataFrame:
-    """(company_name, cin, source_row) of CSV files by flexible headers; rows without a name go.
+    """(company_name, cin, source_row, file, file_row) of CSV files, each by its own header and encoding; rows without a name go.
 
-    source_row numbers the rows of one file from 0 before any goes; for several files it numbers them in file order.
-    Without an encoding, files are read as UTF-8, or where that leaves characters that it can't read, as ISO-8859-1.
+    file_row numbers the rows of a file from 0 before any goes, source_row those of all files in the order of their paths.
+    A file is read by the given encoding, or the one that its first bytes name, or as UTF-8, or where that can't be, as ISO-8859-1.
     """
-    read = lambda code: spark.read.option("header", True).option("encoding", code).option("multiLine", True).csv(path)
-    raw = read(encoding or "UTF-8")
-    if encoding is None:
-        unread = [F.contains(F.col(f"`{c}`"), F.lit("\ufffd")) for c in raw.columns]
-        if any("\ufffd" in c for c in raw.columns) or not raw.filter(reduce(Column.__or__, [F.coalesce(c, F.lit(False)) for c in unread])).isEmpty():
-            raw = read("ISO-8859-1")
-    heads = {" ".join(c.lower().split()): c for c in raw.columns}
-    find = lambda given, kind: given if given in raw.columns else next((heads[a] for a in (*LIST_ALIASES[kind], *MORE_ALIASES[kind]) if a in heads), None)
-    name, cin = find(company_name_column, "company_name"), find(cin_column, "cin")
-    if name is None:
-        raise ValueError(f"no company name column among {', '.join(raw.columns)}")
-    numbered = raw.withColumn("__id", F.monotonically_increasing_id())  # a task's number, then 33 bits that count its rows
-    task, row = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    earlier = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task of the read
-    before = numbered.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__rows")).select("__task", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
-    numbered = numbered.join(F.broadcast(before), task == F.col("__task")).withColumn("source_row", F.col("__before") + row)
-    rows = numbered.select(
-        normalize_text(F.col(f"`{name}`")).alias("company_name"),
-        (normalize_cin(F.col(f"`{cin}`")) if cin else F.lit(None).cast("string")).alias("cin"),
-        "source_row",
+    aliases = {kind: (*LIST_ALIASES[kind], *MORE_ALIASES[kind]) for kind in LIST_ALIASES}
+    rows = read_files(spark, path, aliases["company_name"], aliases["cin"], company_name_column, cin_column, encoding)
+    sizes = rows.groupBy(F.col("file").alias("__file")).agg((F.max("file_row") + 1).alias("__rows"))  # one row for each file
+    earlier = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__file", F.coalesce(F.sum("__rows").over(earlier), F.lit(0).cast("long")).alias("__before"))
+    text = F.when(~F.trim("company_name").isin(*NULL_TOKENS), F.col("company_name"))
+    rows = rows.join(before, F.col("file") == F.col("__file")).select(
+        normalize_text(text).alias("company_name"), normalize_cin(F.col("cin")).alias("cin"), (F.col("__before") + F.col("file_row")).alias("source_row"), "file", "file_row",
     )
     return rows.filter("company_name <> ''")
 
