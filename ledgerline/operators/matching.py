@@ -1,71 +1,163 @@
-"""Matching of company names by token-sort similarity, with blocking."""
+"""Matching of company names by token-sort similarity: a set-similarity join that loses no pair.
+
+The ratio of two names, their words in order, is 200 L / (|a| + |b|) with L the length of their longest common
+subsequence. Names at a ratio of 100 t or more have lengths within t / (2 - t) of each other and share at least
+L - (q - 1) (D + 1) of their q-grams, D = |a| + |b| - 2 L being what they don't share: so at least
+needed(s) = ceil(t s / 2) - (q - 1) ((1 - t) s + 1) for a joint length s. Two sets that share k of their elements meet in the
+rarest |set| - k + 1 of each, in one order of all q-grams by their frequency: only those are joined. Joint lengths
+that are too short for q-grams to be needed are joined by single characters, of which at least L are shared.
+
+The best match of a name is sought from high ratios to low ones. At a high one few q-grams are joined; a name whose
+best is there needs no lower one, as every name at that ratio or more was a candidate.
+"""
 
 from __future__ import annotations
 
-import numpy as np
+import math
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.scalars import normalize_name, strip_company_suffix
+from ..functions.scalars import normalize_name
+from .ranges import stored
+
+#: Ratios at which best matches are sought in turn, and the q-grams that are joined at each.
+LEVELS = ((0.9, 3), (0.8, 2), (0.7, 2), (0.6, 1))
 
 
 def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one row of the table at a time."""
+    """Length of the longest common subsequence: a row of the table is the bits of one number."""
     if not a or not b:
         return 0
-    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    row = np.zeros(len(y) + 1, np.int64)
-    for c in x:
-        step = np.where(y == c, row[:-1] + 1, 0)
-        row[1:] = np.maximum.accumulate(np.maximum(step, row[1:]))
-    return int(row[-1])
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every
+    for c in b:
+        hit = row & at.get(c, 0)
+        row = (row + hit | row - hit) & every
+    return len(a) - row.bit_count()
+
+
+def ratio_of(a: str, b: str) -> float:
+    """100 * 2 LCS / (lengths); two equal texts, empty ones too, are 100."""
+    return 100.0 if a == b else 200.0 * common_subsequence(a, b) / (len(a) + len(b))
 
 
 @F.pandas_udf(DoubleType())
 def token_sort_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """100 * 2 LCS / (lengths) of the names with their words in order."""
-    def ratio(a: str, b: str) -> float:
-        a, b = " ".join(sorted((a or "").split())), " ".join(sorted((b or "").split()))
-        return 100.0 if a == b else 200.0 * common_subsequence(a, b) / (len(a) + len(b))
+    """The ratio of the names with their words in order."""
+    tidy = lambda t: " ".join(sorted((t or "").split()))
+    return pd.Series([ratio_of(tidy(a), tidy(b)) for a, b in zip(left, right)], dtype="float64")
 
-    return pd.Series([ratio(a, b) for a, b in zip(left, right)], dtype="float64")
 
+def ordered(name: Column) -> Column:
+    """A normalised name with its words in order; null where there is no name."""
+    words = F.filter(F.split(normalize_name(name), " "), lambda w: w != "")
+    return F.when(F.size(words) > 0, F.array_join(F.array_sort(words), " "))
 
-def block_keys(name: Column) -> Column:
-    """Blocking keys: the first and the last three letters of each word of three or more, and of all words in order without spaces.
 
-    A name without such a word has its words as keys, too. Legal forms don't count, except in a name that has nothing
-    else. So names of short words meet, and a wrong letter at one end of a word leaves the key of the other end.
-    """
-    bare = strip_company_suffix(name)
-    words = F.array_sort(F.split(F.when(F.trim(bare) == "", normalize_name(name)).otherwise(bare), " "))
-    words = F.filter(words, lambda w: w != "")
-    long = F.filter(words, lambda w: F.length(w) >= 3)
-    ends = F.filter(F.concat(long, F.array(F.array_join(words, ""))), lambda w: w != "")
-    first = F.transform(ends, lambda w: F.concat(F.lit("^"), F.substring(w, 1, 3)))
-    last = F.transform(ends, lambda w: F.concat(F.lit("$"), F.substring(w, -3, 3)))
-    return F.array_distinct(F.concat(first, last, F.when(F.size(long) == 0, words).otherwise(F.array().cast("array<string>"))))
+def grams(text: Column, q: int) -> Column:
+    """A text's q-grams, the n-th of equal ones marked by n, so that a set of them is a multiset."""
+    n = F.length(text)
+    plain = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(q))))
+    plain = F.when(n >= q, plain).otherwise(F.array().cast("array<string>"))
+    return F.transform(plain, lambda g, i: F.concat(g, F.lit("\x00"), (i - F.array_position(plain, g) + 1).cast("string")))
+
+
+def needed(joint: Column, ratio: float, q: int) -> Column:
+    """q-grams that two texts of a joint length share at least, if their ratio is that or more."""
+    return F.ceil(joint * ratio / 2 - (q - 1) * ((1 - ratio) * joint + 1) - 1e-9)
+
+
+def shortest(ratio: float, q: int) -> int:
+    """The joint length from which on at least one q-gram is needed; q-grams that are never needed are an error."""
+    if ratio / 2 - (q - 1) * (1 - ratio) <= 0:
+        raise ValueError(f"{q}-grams can't find a ratio of {ratio}")
+    return math.ceil(q / (ratio / 2 - (q - 1) * (1 - ratio)))
+
+
+def _joined(left: DataFrame, right: DataFrame, ratio: float, q: int, least: int, most: int | None) -> DataFrame:
+    """(l, r): pairs of texts that share one of their rarest q-grams, with a joint length between least and most."""
+    def tokens(side: DataFrame) -> DataFrame:
+        n = F.length("t")
+        rows = side.filter(n * (1 + (2 - ratio) / ratio) >= least)
+        if most is not None:
+            rows = rows.filter(n * (1 + ratio / (2 - ratio)) <= most)
+        return rows.select("t", grams(F.col("t"), q).alias("g"))
+
+    sides = [stored(tokens(s), "grams") for s in (left, right)]
+    known = sides[0].select(F.explode("g").alias("gram")).unionAll(sides[1].select(F.explode("g").alias("gram"))).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    known = stored(known, "gram-counts")
+
+    def prefix(side: DataFrame, name: str) -> DataFrame:
+        """The rarest grams of each text, as many as its shortest partner leaves open."""
+        rows = side.select("t", F.explode("g").alias("gram")).join(known, "gram").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("g"))
+        short = F.greatest(F.length("t") * (1 + ratio / (2 - ratio)), F.lit(float(least)))
+        keep = F.size("g") - F.greatest(needed(short, ratio, q), F.lit(1)) + 1
+        return rows.select(F.col("t").alias(name), F.explode(F.slice("g", F.lit(1), F.greatest(keep, F.lit(0)).cast("int"))["gram"]).alias("gram"))
+
+    pairs = prefix(sides[0], "l").join(prefix(sides[1], "r"), "gram").select("l", "r")
+    a, b = F.length("l"), F.length("r")
+    fits = (200.0 * F.least(a, b) >= (a + b) * ratio * 100 - 1e-6) & (a + b >= least)
+    return pairs.filter(fits & (a + b <= most) if most is not None else fits).distinct()
+
+
+def candidates(left: DataFrame, right: DataFrame, ratio: float, q: int) -> DataFrame:
+    """(l, r) of all pairs of texts (t) at a ratio or more, and some more."""
+    if q == 1:
+        return _joined(left, right, ratio, 1, 0, None)
+    at = shortest(ratio, q)
+    return _joined(left, right, ratio, q, at, None).unionAll(_joined(left, right, ratio, 1, 0, at - 1))
+
+
+def scored(pairs: DataFrame, ratio: float) -> DataFrame:
+    """(l, r, score) of pairs at a ratio or more."""
+    least = 100 * ratio - 1e-9
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = b.assign(score=[ratio_of(x, y) for x, y in zip(b["l"], b["r"])])
+            yield rows[rows["score"] >= least]
+
+    return pairs.mapInPandas(score, "l string, r string, score double")
+
+
+def similar_names(left: DataFrame, right: DataFrame, ratio: float = 0.75, q: int = 2) -> DataFrame:
+    """(l, r, score) of all pairs of different ordered names of two tables (company_name; name) at a ratio or more."""
+    texts = lambda df, c: df.select(ordered(F.col(c)).alias("t")).filter("t is not null").distinct()
+    return scored(candidates(texts(left, "company_name"), texts(right, "name"), ratio, q), ratio)
 
 
-def fuzzy_match_names(left: DataFrame, right: DataFrame, threshold: float = 60, blocks: int = 16) -> DataFrame:
-    """Per left row (company_name, cin) the best right row (code, name, place): code, name, score.
+def fuzzy_match_names(left: DataFrame, right: DataFrame, threshold: float = 60, levels: tuple[tuple[float, int], ...] = LEVELS) -> DataFrame:
+    """Per left row (company_name, cin, ...) the best right row (code, name, place): code, name, score.
 
-    Rows meet on the blocking keys, never all with all. A key that many names share is salted: left rows draw a
-    block, right rows go to all of them. The first of equal scores wins; below the threshold code and name are null.
+    The first of equal scores wins. What no level finds has no code, no name and no score, so the lowest level should
+    not lie above the threshold. Equal names are compared once; rows of left that are equal in everything stay as many.
     """
-    companies = left.select(*left.columns, F.explode_outer(block_keys(F.col("company_name"))).alias("__key"))
-    companies = companies.withColumn("__salt", F.pmod(F.xxhash64("company_name"), F.lit(blocks)))
-    names = right.select("code", "name", "place", F.explode(block_keys(F.col("name"))).alias("__of"))
-    names = names.withColumn("__to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = companies.join(names, (F.col("__key") == F.col("__of")) & (F.col("__salt") == F.col("__to")), "left").drop("__key", "__of", "__salt", "__to").distinct()
-    scored = pairs.withColumn("score", F.coalesce(token_sort_ratio(normalize_name(F.col("company_name")), normalize_name(F.col("name"))), F.lit(0.0)))
-    best = Window.partitionBy(*left.columns).orderBy(F.col("score").desc(), F.col("place").asc_nulls_last(), "code")
-    rows = scored.withColumn("__n", F.row_number().over(best)).filter("__n = 1")
-    good = F.col("score") >= threshold
-    score = F.when(F.col("name").isNotNull() & (F.col("score") > 0), F.bround("score", 2))
-    return rows.select(*left.columns, F.when(good, F.col("code")).alias("code"), F.when(good, F.col("name")).alias("name"), score.alias("score"))
+    names = stored(right.select("code", "name", "place", ordered(F.col("name")).alias("r")).filter("r is not null"), "names")
+    rows = stored(left.withColumn("l", ordered(F.col("company_name"))), "companies")
+    first = names.groupBy("r").agg(F.min(F.struct("place", "code", "name")).alias("of"))
+    open_, texts, best = stored(rows.select(F.col("l").alias("t")).filter("t is not null").distinct(), "open"), names.select(F.col("r").alias("t")).distinct(), None
+    for ratio, q in levels:
+        found = scored(candidates(open_, texts, ratio, q), ratio).join(first, "r")
+        key = F.struct((-F.col("score")).alias("s"), F.col("of.place").isNull().alias("no_place"), F.col("of.place").alias("place"), F.col("of.code").alias("code"), F.col("of.name").alias("name"))
+        found = stored(found.groupBy("l").agg(F.min(key).alias("best")), "best")
+        best = found if best is None else best.unionByName(found)
+        open_ = stored(open_.join(found.select(F.col("l").alias("t")), "t", "left_anti"), "open")
+    good = -F.col("best.s") >= threshold
+    out = rows.join(best, "l", "left")
+    return out.select(*left.columns, F.when(good, F.col("best.code")).alias("code"), F.when(good, F.col("best.name")).alias("name"), F.bround(-F.col("best.s"), 2).alias("score"))
+
+
+def exclude_similar(controls: DataFrame, listed: DataFrame, threshold: float = 90, q: int = 2) -> DataFrame:
+    """Controls whose name is at a ratio of the threshold or more to no name on a list (company_name); rows without a name stay."""
+    hits = similar_names(controls, listed.select(F.col("company_name").alias("name")), threshold / 100, q).select("l").distinct()
+    return controls.withColumn("__l", ordered(F.col("company_name"))).join(hits, F.col("__l") == F.col("l"), "left_anti").drop("__l")
 
 
 def sorted_tokens(name: Column) -> Column:

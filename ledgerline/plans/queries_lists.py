@@ -311,10 +311,21 @@ def match_tiers(spark, sf_dir):
     return rows.withColumn("tier", matching.match_tier(F.col("similarity")))
 
 
-@query()
+@query("""WITH n AS (SELECT p_name, min(p_partkey) AS place, length(p_name) AS n FROM part GROUP BY 1)
+SELECT upper(p_name) || 'Q ' AS company_name, p_partkey::VARCHAR AS cin, place::VARCHAR AS code, p_name AS name, round_even(200.0::DOUBLE * n / (2 * n + 1), 2) AS score FROM part JOIN n USING (p_name)""")
 def fuzzy_match_names(spark, sf_dir):
-    """Part names and messy copies of them: every part finds the name that it was made from."""
+    """Part names and copies of them with a letter too many: every part finds the name that it was made from."""
     parts = table(spark, sf_dir, "part")
-    left = parts.select(F.concat(F.upper("p_name"), F.lit(" Ltd")).alias("company_name"), F.col("p_partkey").cast("string").alias("cin"))
+    left = parts.select(F.concat(F.upper("p_name"), F.lit("Q ")).alias("company_name"), F.col("p_partkey").cast("string").alias("cin"))
     right = parts.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("place")).select(F.col("place").cast("string").alias("code"), "name", "place")
     return matching.fuzzy_match_names(left, right)
+
+
+@query("""SELECT c_name AS company_name, c_custkey AS source_row FROM customer WHERE c_acctbal >= 0 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 1)""")
+def exclude_similar(spark, sf_dir):
+    """Controls without those whose name is on a list as it is or with one letter too many; two letters too many are another name."""
+    k = F.col("s_suppkey")
+    name = F.replace("s_name", F.lit("Supplier"), F.lit("CUSTOMER"))
+    wrong = F.when(k % 3 == 0, name).when(k % 3 == 1, F.concat(F.lit("qq"), name)).otherwise(F.concat(F.lit("  x"), name))
+    controls = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(F.col("c_name").alias("company_name"), F.col("c_custkey").alias("source_row"))
+    return matching.exclude_similar(controls, table(spark, sf_dir, "supplier").select(wrong.alias("company_name")), 95, 3)
