@@ -116,10 +116,31 @@ def mode_impute_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Lanes of a fingerprint: eight 32-bit words of a row's SHA-256, each summed modulo 2^64.
+LANES = 8
+
+
+def fingerprint_lanes(df: DataFrame) -> DataFrame:
+    """One row (n, lane_0, ... lane_7): an additive hash of the multiset of rows, which no order or partitioning changes.
+
+    A row's digest is over its columns in order, each "-" for null, else its length in bytes, ":", and its text, so that no two
+    rows read alike. Lanes of parts of a table add up to those of the whole; see merged_lanes.
+    """
+    text = [F.col(f"`{c}`").cast("string") for c in df.columns]
+    digest = F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]), 256)
+    word = lambda i: F.conv(F.substring("digest", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")
+    return merged_lanes(df.select(digest.alias("digest")).select(F.lit(1).cast("long").alias("n"), *[word(i).alias(f"lane_{i}") for i in range(LANES)]))
+
+
+def merged_lanes(parts: DataFrame) -> DataFrame:
+    """The lanes of the union of parts, from one row of lanes for each."""
+    lane = lambda i: (F.coalesce(F.sum(f"lane_{i}"), F.lit(0)) % F.lit(str(2**64)).cast("decimal(38,0)")).cast("decimal(38,0)").alias(f"lane_{i}")
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"), *[lane(i) for i in range(LANES)])
+
+
 def dataset_fingerprint(df: DataFrame) -> DataFrame:
-    """One row: the number of rows and a hash of them that no order or partitioning changes."""
-    rows = df.select(F.xxhash64(*df.columns).alias("h"))
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sha2(F.concat_ws(":", F.count(F.lit(1)), F.sum(F.col("h").cast("decimal(38,0)")), F.bit_xor("h")), 256).alias("fingerprint"))
+    """One row: the number of rows, and the SHA-256 of it and the lanes."""
+    return fingerprint_lanes(df).select(F.col("n").alias("n_rows"), F.sha2(F.concat_ws(":", F.col("n").cast("string"), *[F.col(f"lane_{i}").cast("string") for i in range(LANES)]), 256).alias("fingerprint"))
 
 
 def fill_rate(columns: list[str]) -> Column:
@@ -136,9 +157,9 @@ def cohort_comparison(features: DataFrame) -> DataFrame:
     )
 
 
-def lender_sector_exposure(df: DataFrame, bank: str, sector: str, amount: str) -> DataFrame:
-    """Rows and amount by bank and sector, with subtotals by bank and a total."""
-    return df.rollup(bank, sector).agg(F.count(F.lit(1)).alias("n_defaulters"), F.sum(F.col(amount).cast("decimal(18,4)")).cast("double").alias("amount"))
+def lender_sector_exposure(df: DataFrame, bank: str, sector: str, amount: str, year: str | None = None) -> DataFrame:
+    """Rows and amount by bank, sector and, where it is given, year, with subtotals and a total."""
+    return df.rollup(bank, sector, *([year] if year else [])).agg(F.count(F.lit(1)).alias("n_defaulters"), F.sum(F.col(amount).cast("decimal(18,4)")).cast("double").alias("amount"))
 
 
 def data_quality_score(df: DataFrame, columns: list[str], company: list[str], most_missing: float = 0.3) -> DataFrame:

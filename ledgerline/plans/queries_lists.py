@@ -120,7 +120,7 @@ def read_company_list(spark, sf_dir):
     write = lambda df, code, kind: df.write.option("header", True).option("escape", '"').option("encoding", code).csv(f"{base}/{kind}")
     write(rows.filter("k % 3 = 0").select(F.col("cin").alias("Corporate Identification Number"), "sector", F.col("name").alias("Name of  Borrower")), "ISO-8859-1", "latin")
     write(rows.filter("k % 3 <> 0").select(F.col("name").alias("Company Name"), "sector", F.col("cin").alias("CIN")), "UTF-8", "unicode")
-    return tables.read_company_list(spark, base).select("company_name", "cin", F.regexp_extract("file", "/(latin|unicode)/", 1).alias("kind"))
+    return tables.read_company_list(spark, base, places=True).select("company_name", "cin", F.regexp_extract("file", "/(latin|unicode)/", 1).alias("kind"))
 
 
 LIST_SQL = f"{MESSY_SQL}, list AS (SELECT trim(raw_name) AS company_name, {CIN_SQL} AS cin, k AS source_row FROM messy)"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
@@ -123,17 +126,26 @@ def sector_median_impute(spark, sf_dir):
     return quality.sector_median_impute(panel.company_years(spark, sf_dir), ["capex"]).select("company_name", "financial_year", "capex_imputed")
 
 
-@query()
+PRINTED = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+LANE_SQL = ", ".join(f"(sum(('0x' || substr(d, {1 + 8 * i}, 8))::BIGINT) % 18446744073709551616)::VARCHAR" for i in range(quality.LANES))
+
+
+@query(f"""WITH d AS (SELECT sha256({' || '.join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in PRINTED)}) AS d FROM customer)
+SELECT count(*) AS n_rows, sha256(concat_ws(':', count(*)::VARCHAR, {LANE_SQL})) AS fingerprint FROM d""")
 def dataset_fingerprint(spark, sf_dir):
-    return quality.dataset_fingerprint(panel.company_years(spark, sf_dir))
+    """The fingerprint of the customers, merged from those of their fifths."""
+    df = panel.table(spark, sf_dir, "customer").select(*PRINTED)
+    parts = [quality.fingerprint_lanes(df.filter(F.pmod("c_custkey", F.lit(5)) == i)) for i in range(5)]
+    lanes = quality.merged_lanes(reduce(DataFrame.unionByName, parts))
+    return lanes.select(F.col("n").alias("n_rows"), F.sha2(F.concat_ws(":", F.col("n").cast("string"), *[F.col(f"lane_{i}").cast("string") for i in range(quality.LANES)]), 256).alias("fingerprint"))
 
 
-@query("""SELECT r_name AS bank, c_mktsegment AS sector, count(*) AS n_defaulters, sum(c_acctbal::DECIMAL(18,4))::DOUBLE AS amount
-FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal < 0 GROUP BY ROLLUP (r_name, c_mktsegment)""")
+@query("""SELECT r_name AS bank, c_mktsegment AS sector, 2010 + c_custkey % 5 AS year, count(*) AS n_defaulters, sum(c_acctbal::DECIMAL(18,4))::DOUBLE AS amount
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal < 0 GROUP BY ROLLUP (r_name, c_mktsegment, 2010 + c_custkey % 5)""")
 def lender_sector_exposure(spark, sf_dir):
     nations = panel.table(spark, sf_dir, "nation").join(panel.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     people = panel.table(spark, sf_dir, "customer").filter("c_acctbal < 0").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    return quality.lender_sector_exposure(people.select(F.col("r_name").alias("bank"), F.col("c_mktsegment").alias("sector"), "c_acctbal"), "bank", "sector", "c_acctbal")
+    return quality.lender_sector_exposure(people.select(F.col("r_name").alias("bank"), F.col("c_mktsegment").alias("sector"), (2010 + F.col("c_custkey") % 5).alias("year"), "c_acctbal"), "bank", "sector", "c_acctbal", "year")
 
 
 SHARE_SQL = "('0x' || substr(md5(cin || ':42'), 1, 7))::BIGINT / 268435456.0::DOUBLE"

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cohorts, extract
-from ..operators.cohorts import pending_company_years as years_to_do
-from . import panel
+from ..operators import cohorts, extract, scoring
+from . import panel, queries_scores  # noqa: F401  its SQL checks the incremental job, too
 from .catalog import query
 from .panel import table
 
@@ -156,6 +155,27 @@ def normalize_published_table(spark, sf_dir):
     return extract.normalize_published_table(body.unionByName(heads).select("table_id", "row_pos", "x.col_pos", "x.value"))
 
 
+@query("""WITH t AS (SELECT c_nationkey::BIGINT AS table_id, c_custkey AS k, * FROM customer WHERE c_nationkey % 5 <> 4)
+SELECT table_id, k AS row_pos, trim(c_name) AS company_name, CASE WHEN k % 4 > 0 THEN k + 0.5::DOUBLE WHEN table_id % 5 = 2 THEN k::DOUBLE END AS amount,
+  CASE WHEN table_id % 5 = 1 THEN 'x' || k END AS column_3, CASE WHEN table_id % 5 = 0 THEN 'AAA' || k END AS pan, CASE WHEN table_id % 5 = 3 THEN c_mktsegment END AS remarks,
+  'list-' || table_id || '.pdf' AS source_pdf, CASE WHEN table_id % 5 = 3 THEN k::VARCHAR END AS source_pdf_ FROM t""")
+def union_published_tables(spark, sf_dir):
+    """Tables with a PAN, without a header, with two amounts, with unknown headers, and ones that are no lists at all."""
+    k, t = F.col("c_custkey"), F.col("c_nationkey").cast("long")
+    people, kind, text = table(spark, sf_dir, "customer"), F.col("c_nationkey") % 5, k.cast("string")
+    cell = lambda col, head, value, when=F.lit(True): F.when(when, F.struct(F.lit(col).alias("col_pos"), F.lit(head).alias("head"), value.alias("value")))
+    cells = F.filter(F.array(
+        cell(0, "Name of the  Borrower", F.concat(F.lit(" "), "c_name"), kind != 4), cell(0, "Chapter", F.lit("7"), kind == 4), cell(1, "Outstanding Amount", F.when(k % 4 > 0, F.concat(text, F.lit(".5"))).otherwise(""), kind != 4),
+        cell(2, "PAN", F.concat(F.lit("AAA"), text), kind == 0), cell(3, " ", F.concat(F.lit("x"), text), kind == 1), cell(2, "Amount", text, kind == 2), cell(2, "Remarks", F.col("c_mktsegment"), kind == 3), cell(3, "Source_PDF", text, kind == 3),
+    ), lambda x: x.isNotNull())
+    rows = people.select(t.alias("table_id"), k.cast("long").alias("row_pos"), F.explode(cells).alias("x"))
+    heads = rows.groupBy("table_id", F.col("x.col_pos").alias("col_pos")).agg(F.min("x.head").alias("value")).select("table_id", F.lit(-1).cast("long").alias("row_pos"), "col_pos", "value")
+    # a table of another kind has no row of a borrower's name: its header is row 0, so it is given as such
+    heads = heads.withColumn("row_pos", F.when(F.col("table_id") % 5 == 4, 0).otherwise(F.col("row_pos")).cast("long"))
+    origin = people.select(t.alias("table_id")).distinct().select("table_id", F.concat(F.lit("list-"), F.col("table_id").cast("string"), F.lit(".pdf")).alias("source_pdf"))
+    return extract.union_published_tables(rows.select("table_id", "row_pos", "x.col_pos", "x.value").unionByName(heads), origin)
+
+
 @query("""WITH c AS (SELECT o_custkey AS cin, year(o_orderdate)::INT AS y, o_orderkey AS k FROM orders)
 SELECT cin, 'profit-loss' AS section, 0 AS table_pos, 1 AS row_pos, 'Sales' AS label, y AS financial_year, (1000 + k)::DOUBLE AS value FROM c
 UNION ALL SELECT cin, 'profit-loss', 0, 2, 'Tax', y - 1, -5.5::DOUBLE FROM c""")
@@ -174,18 +194,51 @@ def parse_statement_tables(spark, sf_dir):
     return found.select("cin", "section", "table_pos", "row_pos", "label", late.alias("financial_year"), "value")
 
 
-@query("""WITH e AS (SELECT DISTINCT user_id AS cin, year(ts)::INT AS financial_year FROM events), plan AS (SELECT cin, unnest([financial_year, financial_year - 1])::INT AS financial_year FROM e)
-SELECT DISTINCT cin, financial_year FROM plan WHERE (cin, financial_year) NOT IN (SELECT cin, financial_year FROM e WHERE cin % 2 = 0)""")
+@query("""WITH e AS (SELECT user_id AS cin, year(ts)::INT AS financial_year, min(event_id) AS event_id FROM events GROUP BY ALL)
+SELECT cin, financial_year, CASE WHEN cin % 2 = 0 THEN -1 ELSE event_id END AS event_id, 1::BIGINT AS marks FROM e WHERE cin % 7 <> 0""")
 def append_with_checkpoint(spark, sf_dir):
-    """What a resumed job has left to do: planned years that the checkpoint doesn't have."""
-    seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("cin"), F.year("ts").alias("financial_year")).distinct()
-    plan = seen.select("cin", F.explode(F.array("financial_year", F.col("financial_year") - 1)).alias("target_fy"))
-    return years_to_do(seen.select("cin").distinct(), plan, seen.filter("cin % 2 = 0")).distinct()
+    """A job that had died between its two writes is started again, twice: every year once, every key marked once."""
+    from ..sources import tables
+
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("cin"), F.year("ts").alias("financial_year"), "event_id")
+    done = rows.filter("cin % 7 = 0").select("cin", "financial_year").distinct()
+    out, marks = tables.new_path(spark, "appended"), tables.new_path(spark, "marks")
+    rows.filter("cin % 2 = 0 and cin % 7 <> 0").select("cin", "financial_year", F.lit(-1).cast("long").alias("event_id")).distinct().write.parquet(out)
+    for _ in range(2):
+        tables.append_with_checkpoint(rows, done, out, marks)
+    marked = spark.read.parquet(marks).groupBy("cin", "financial_year").agg(F.count(F.lit(1)).alias("marks"))
+    return spark.read.parquet(out).join(marked, ["cin", "financial_year"])
+
+
+@query("""SELECT count(*) AS n_rows, 0::BIGINT AS overlaps, count(DISTINCT o_custkey) AS n_keys FROM orders""")
+def write_table_ordered(spark, sf_dir):
+    """Orders written by customer in ranges: rows, customers, and pairs of neighbouring files that overlap by more than a tie."""
+    from pyspark.sql import Window
 
+    from ..sources import tables
 
-@query("""SELECT event_id, try_cast(regexp_extract(props, '"k": ([0-9]+)', 1) AS INT) AS k FROM events""")
+    path = tables.new_path(spark, "ordered")
+    tables.write_table(table(spark, sf_dir, "orders"), path, order=["o_custkey"], rows_per_file=2000)
+    rows = spark.read.parquet(path).select("o_custkey", F.input_file_name().alias("file"))
+    files = rows.groupBy("file").agg(F.min("o_custkey").alias("least"), F.max("o_custkey").alias("most"))  # one row a file
+    before = F.lag("most").over(Window.orderBy("least", "most"))
+    overlaps = files.withColumn("before", before).agg(F.count_if(F.col("least") < F.col("before")).alias("overlaps"))
+    sizes = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("o_custkey").alias("n_keys"), F.lit(1).alias("one"))
+    return sizes.join(overlaps.withColumn("one", F.lit(1)), "one").select("n_rows", "overlaps", "n_keys")
+
+
+@query("""SELECT o_custkey AS cin, year(o_orderdate)::INT AS financial_year, (o_orderkey % 1000)::DOUBLE AS revenue FROM orders""")
 def read_json_rows(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    """Payloads of three forms written as JSON files, read back: objects, lists of objects, and objects with a list of rows."""
+    from ..sources import tables
+
+    row = F.to_json(F.struct(F.col("o_custkey").alias("cin"), F.year("o_orderdate").alias("financial_year"), (F.col("o_orderkey") % 1000).cast("double").alias("revenue")))
+    k = F.col("o_custkey")
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), row.alias("row")).groupBy("k").agg(F.array_join(F.collect_list("row"), ",").alias("rows"), F.count(F.lit(1)).alias("n"))
+    body = F.when(F.col("n") == 1, F.col("rows")).when(F.col("k") % 2 == 0, F.concat(F.lit("["), "rows", F.lit("]"))).otherwise(F.concat(F.lit('{"rows": ['), "rows", F.lit("]}")))
+    base = tables.new_path(spark, "payloads")
+    rows.select(body.alias("value")).write.text(base)
+    return tables.read_json_lines(spark, base, "cin bigint, financial_year int, revenue double")
 
 
 @query(f"WITH {panel.SQL} SELECT company_name, financial_year, CASE WHEN promoter_holding_pct % 4 <> 0 THEN round(promoter_holding_pct, 2) END AS promoter_holding_pct, CASE WHEN financial_year % 5 <> 0 THEN sector END AS sector FROM company_year")
@@ -202,15 +255,24 @@ def read_company_years(spark, sf_dir):
     return typed_company_years(texts).select("company_name", "financial_year", "promoter_holding_pct", "sector")
 
 
-@query()
+def _score_sql() -> str:
+    from .catalog import ORACLE_SQL
+
+    return ORACLE_SQL["score_companies"]
+
+
+@query(_score_sql())
 def incremental_score(spark, sf_dir):
-    """The incremental job over the company-years in two batches of files; its latest scores."""
+    """The incremental job over the company-years in two batches of files: its latest scores are those of one whole run."""
     from ..sources.tables import new_path
     from ..streaming import incremental
+    from .queries_scores import THRESHOLD
 
     base = new_path(spark, "incremental")
     years = panel.company_years(spark, sf_dir)
     for batch in ("financial_year <= 1996", "financial_year > 1996"):
         years.filter(batch).write.mode("append").parquet(f"{base}/incoming")
-        incremental.incremental_score(spark, f"{base}/incoming", years.schema, f"{base}/facts", f"{base}/scores", f"{base}/checkpoint").awaitTermination()
-    return incremental.latest_scores(spark, f"{base}/scores").select("cin", "batch_id", "years_received", "latest_financial_year", "risk_band", "rule_flag_count")
+        incremental.incremental_score(spark, f"{base}/incoming", years.schema, f"{base}/facts", f"{base}/scores", f"{base}/checkpoint", THRESHOLD).awaitTermination()
+    schema = scoring.score_companies(years.limit(0), THRESHOLD).schema
+    rows = incremental.latest_scores(spark, f"{base}/scores", schema)
+    return rows.select("cin", "latest_financial_year", "years_received", F.round("ml_probability", 9).alias("ml_probability"), "risk_band", "rule_flag_count")

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from ..functions.scalars import normalize_cin, normalize_text, number
 from ..plans.panel import COLUMNS, NUMERIC
 from .company_files import read_files
+from .ledger import first_by_all, without
 
 #: Headers of company lists and what they mean: fixed values.
 LIST_ALIASES = {
@@ -34,8 +35,8 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def read_company_list(spark: SparkSession, path: str, company_name_column: str | None = None, cin_column: str | None = None, encoding: str | None = None) -> DataFrame:
-    """(company_name, cin, source_row, file, file_row) of CSV files, each by its own header and encoding; rows without a name go.
+def read_company_list(spark: SparkSession, path: str, company_name_column: str | None = None, cin_column: str | None = None, encoding: str | None = None, places: bool = False) -> DataFrame:
+    """(company_name, cin, source_row) of CSV files, each by its own header and encoding; rows without a name go. With places, file and file_row as well.
 
     file_row numbers the rows of a file from 0 before any goes, source_row those of all files in the order of their paths.
     A file is read by the given encoding, or the one that its first bytes name, or as UTF-8, or where that can't be, as ISO-8859-1.
@@ -49,7 +50,8 @@ def read_company_list(spark: SparkSession, path: str, company_name_column: str |
     rows = rows.join(before, F.col("file") == F.col("__file")).select(
         normalize_text(text).alias("company_name"), normalize_cin(F.col("cin")).alias("cin"), (F.col("__before") + F.col("file_row")).alias("source_row"), "file", "file_row",
     )
-    return rows.filter("company_name <> ''")
+    rows = rows.filter("company_name <> ''")
+    return rows if places else rows.drop("file", "file_row")
 
 
 def typed_company_years(df: DataFrame) -> DataFrame:
@@ -70,29 +72,60 @@ def read_company_years(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """JSON payloads, each an object, a list of objects, or an object with a list `rows`, as rows of a schema."""
-    body = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("v"))
-    row = schema.simpleString()
+    return _payload_rows(spark.read.option("wholetext", True).text(path), schema.simpleString())
+
+
+def read_json_lines(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """The same payloads, one a line, so that large files are split; fields as in DDL."""
+    return _payload_rows(spark.read.text(path), StructType.fromDDL(fields).simpleString())
+
+
+def _payload_rows(texts: DataFrame, row: str) -> DataFrame:
+    body = texts.select(F.trim("value").alias("v"))
     wrapped = F.from_json("v", f"struct<rows:array<{row}>>")["rows"]
     listed = F.from_json("v", f"array<{row}>")
     rows = body.select(F.explode(F.when(wrapped.isNotNull(), wrapped).otherwise(listed)).alias("r"))
     return rows.select("r.*")
 
 
-def write_table(df: DataFrame, path: str, kind: str = "parquet", partition: str | None = "financial_year") -> None:
-    """Write a result, empty ones with their schema too."""
+def existing(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A table, or an empty one where nothing has been written."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def write_table(df: DataFrame, path: str, kind: str = "parquet", partition: str | None = "financial_year", order: list[str] | None = None, rows_per_file: int = 1_000_000) -> None:
+    """Write a result, empty ones with their schema too.
+
+    With an order, files hold consecutive ranges of it, sorted within, so that their least and largest values are close
+    and don't overlap. Ranges are sampled; rows that tie in the order are salted, so that a value that very many rows
+    share fills several files, and only such a value stands in two.
+    """
+    if order:
+        files = -(-df.count() // rows_per_file) or 1
+        by = [F.col(c).asc_nulls_first() for c in order]
+        df = df.withColumn("__salt", F.rand(3)).repartitionByRange(files, *by, F.col("__salt")).sortWithinPartitions(*by).drop("__salt")
     writer = df.write.mode("overwrite")
     if kind == "csv":
         writer.option("header", True).csv(path)
-    elif partition and partition in df.columns:
+    elif partition and partition in df.columns and not order:
         writer.partitionBy(partition).parquet(path)
     else:
         writer.parquet(path)
 
 
 def append_with_checkpoint(df: DataFrame, done: DataFrame, out: str, checkpoint: str, keys: tuple[str, ...] = ("cin", "financial_year")) -> None:
-    """Append the rows whose keys aren't done, then mark their keys; what is marked was read from the output itself."""
-    spark = df.sparkSession
-    new = df.dropDuplicates(list(keys)).join(done.select(*keys), list(keys), "left_anti")
+    """Append the rows whose keys aren't done, then mark their keys; what is marked is read from the output itself.
+
+    A key that the output holds is not appended again, so a job that ended between the two writes, or within the first, can be
+    started again. Of several rows of a key the least by its other columns counts, whatever their order.
+    """
+    spark, k = df.sparkSession, list(keys)
+    have = existing(spark, out, df.schema)
+    new = without(first_by_all(df, k), [done, have], k)
     new.write.mode("append").parquet(out)
-    fresh = spark.read.parquet(out).select(*keys).distinct().join(done.select(*keys), list(keys), "left_anti")
+    marked = existing(spark, checkpoint, df.select(*k).schema)
+    fresh = without(spark.read.schema(df.schema).parquet(out).select(*k).distinct(), [done, marked], k)
     fresh.write.mode("append").parquet(checkpoint)

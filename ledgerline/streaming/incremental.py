@@ -10,33 +10,28 @@ from pyspark.sql.types import StructType
 from ..operators.cohorts import dedupe_first
 from ..operators.scoring import score_companies
 from ..operators.training import Trained
+from ..sources.ledger import Ledger, without
 
 KEYS = ["cin", "financial_year"]
 
 
-def existing(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table, or an empty one where nothing has been written."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
 def take_batch(batch: DataFrame, batch_id: int, facts: str, scores: str, threshold: float | None = None, model: Trained | None = None) -> None:
     """Append the batch's new company-years and the new scores of their companies.
 
-    A year that is there already is passed over, so that a batch that comes again changes nothing: its facts are
-    under its own id, and are written over. Scores carry the batch id, the latest of a company counts.
+    Facts and scores are ledgers in buckets of the company's id: of the history only the batch's buckets are read. Each is
+    committed as a whole, so a batch that comes again, after a crash at any place, goes on where it ended and adds nothing
+    twice. A year that is there already is passed over. The latest batch's scores of a company count.
     """
     spark = batch.sparkSession
-    before = existing(spark, facts, StructType([*batch.schema.fields]).add("batch_id", "long"))
-    before = before.filter(F.col("batch_id") != batch_id)
-    new = dedupe_first(batch, KEYS, ["company_name"]).join(before.select(*KEYS), KEYS, "left_anti")
-    new.write.mode("overwrite").parquet(f"{facts}/batch_id={batch_id}")
-    new = spark.read.parquet(f"{facts}/batch_id={batch_id}").select(*batch.columns)
+    known = Ledger(spark, facts, "cin", batch.schema)
+    before = known.read(known.touched(batch), before=batch_id).select(*batch.columns)
+    if not known.committed(batch_id):
+        known.append(without(dedupe_first(batch, KEYS, ["company_name"]), [before], KEYS), batch_id)
+    new = known.read(only=batch_id).select(*batch.columns)
     touched = new.select("cin").distinct()
-    history = before.drop("batch_id").join(touched, "cin", "left_semi").unionByName(new)
-    score_companies(history, threshold, model=model).write.mode("overwrite").parquet(f"{scores}/batch_id={batch_id}")
+    history = before.join(touched, "cin", "left_semi").unionByName(new)
+    scored = score_companies(history, threshold, model=model)
+    Ledger(spark, scores, "cin", scored.schema).append(scored, batch_id)
 
 
 def incremental_score(spark: SparkSession, source: str, schema: StructType, facts: str, scores: str, checkpoint: str, threshold: float | None = None, model: Trained | None = None) -> StreamingQuery:
@@ -45,7 +40,8 @@ def incremental_score(spark: SparkSession, source: str, schema: StructType, fact
     return stream.writeStream.foreachBatch(lambda df, i: take_batch(df, i, facts, scores, threshold, model)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_scores(spark: SparkSession, scores: str) -> DataFrame:
-    """The latest scores of each company."""
-    rows = spark.read.parquet(scores)
+def latest_scores(spark: SparkSession, scores: str, schema: StructType) -> DataFrame:
+    """The latest scores of each company, with batch_id."""
+    rows = Ledger(spark, scores, "cin", schema).read()
+    rows = rows.withColumn("batch_id", F.regexp_replace("batch", "c", "").cast("long")).drop("batch", "bucket")
     return dedupe_first(rows, ["cin"], [F.col("batch_id").desc()])

@@ -90,7 +90,7 @@ def test_every_file_has_its_own_header_and_encoding(spark, tmp_path):
     (tmp_path / "deep" / "c.csv").write_bytes("﻿NAME\nÜber\n".encode())
     (tmp_path / "deep" / "d.csv").write_bytes("company\ncin\nx\n".encode("utf-16"))
     (tmp_path / "e.csv").write_bytes(b"")
-    got = {(r["company_name"], r["cin"], r["source_row"], r["file_row"]) for r in tables.read_company_list(spark, str(tmp_path)).collect()}
+    got = {(r["company_name"], r["cin"], r["source_row"], r["file_row"]) for r in tables.read_company_list(spark, str(tmp_path), places=True).collect()}
     assert got == {("One", cin, 0, 0), ("Société", cin, 3, 0), ('Two, "Ltd"\nSouth', cin, 5, 2), ("Über", None, 6, 0), ("cin", None, 7, 0), ("x", None, 8, 1)}
     (tmp_path / "f.csv").write_text("what,ever\n1,2\n")
     with pytest.raises(Exception, match="f.csv: no company name column among what, ever"):
