@@ -122,6 +122,11 @@ def flatten_scores(spark, sf_dir):
     return scoring.flatten_scores(scoring.roll_up(decided(spark, sf_dir))).select("cin", "rule_flags_triggered", "top_reasons")
 
 
-@query()
+SUMMARY_SQL = f"""'Probability ' || format('{{:.3f}}', round_even(p, 3)) || ', threshold {THRESHOLD:.3f}. ' || CASE WHEN n_flags > 0 THEN n_flags || ' red flag(s) by rule.' ELSE 'No red flags by rule.' END
+  || CASE WHEN len(top) > 0 THEN ' Reasons: ' || array_to_string(top, '; ') ELSE '' END"""
+FRAMING_SQL = "'" + rules.FRAMING.replace("'", "''") + "'"
+
+
+@query(f"WITH {DECIDED_SQL} SELECT {IDS}, {SUMMARY_SQL} AS support_summary, {FRAMING_SQL} AS framing_message FROM decided")
 def support_summary(spark, sf_dir):
     return decided(spark, sf_dir).select(*ID, "support_summary", "framing_message")
