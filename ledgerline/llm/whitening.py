@@ -2,8 +2,8 @@
 
 Vectors become whole numbers, x = floor(SCALE * c) + SHIFT, so that counts, sums and deviations are exact. The
 covariance V is never formed: a pass over the rows gives V Q for a block Q of a few columns, each row centred before it is
-multiplied, summed by Spark over the partitions. Driver and tasks hold matrices of (dimensions x block columns) only,
-however many rows there are.
+multiplied, summed over the partitions: by Spark, and those of few tasks by the driver. Driver and tasks hold matrices
+of (dimensions x block columns) only, however many rows there are.
 
 1. A few steps of block-wise Lanczos passes bound the spectrum from below and above.
 2. A Chebyshev recurrence over the passes damps everything in the unwanted interval, from the lower bound to the block's
@@ -39,6 +39,8 @@ GUARD = 16
 DEGREE, BOUND_STEPS, MOST_FILTERS = 12, 6, 40
 #: Residuals, relative to the largest eigenvalue: certified below the first; below the second they may end by no longer falling.
 CERTAIN, SETTLED = 4e-15, 1e-12
+#: Tasks up to which the driver adds up a pass's matrices itself; those of more tasks are added up by Spark first.
+FEW_TASKS = 64
 #: An eigenvalue below this share of the largest is no variance but rounding.
 FLOOR = 1e-12
 
@@ -80,7 +82,9 @@ class Fit:
                 )
 
         parts = self.rows.select("x").mapInArrow(totals, "i int, s string, n long, least long, most long")
-        found = parts.groupBy("i").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s"), F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).orderBy("i").collect()
+        found = parts.groupBy("i").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s"), F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("parts")).collect()
+        found = sorted(found, key=lambda r: r["i"])
+        self.parts = found[0]["parts"]
         return int(found[0]["n"]), [int(r["s"]) for r in found], [r["least"] for r in found], [r["most"] for r in found]
 
     def _summed(self, made, width: int, height: int) -> np.ndarray:
@@ -95,9 +99,12 @@ class Fit:
             yield pa.RecordBatch.from_arrays([pa.array(range(height), pa.int32()), *[pa.array(c) for c in total.T]], names=["i", *[f"y{j}" for j in range(width)]])
 
         parts = self.rows.select("x").mapInArrow(part, "i int, " + ", ".join(f"y{j} double" for j in range(width)))
-        found = parts.groupBy("i").agg(*[F.sum(f"y{j}") for j in range(width)]).orderBy("i").collect()
-        self.passes += 1
-        return np.array([tuple(r)[1:] for r in found])
+        if self.parts > FEW_TASKS:
+            parts = parts.groupBy("i").agg(*[F.sum(f"y{j}").alias(f"y{j}") for j in range(width)])
+        found, self.passes = np.array([tuple(r) for r in parts.collect()]), self.passes + 1
+        total = np.zeros((height, width))
+        np.add.at(total, found[:, 0].astype(int), found[:, 1:])
+        return total
 
     def times(self, q: np.ndarray) -> np.ndarray:
         """V q, without V."""
