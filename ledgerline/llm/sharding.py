@@ -14,19 +14,20 @@ from pyspark.sql import functions as F
 
 from .common import prefix_offsets, written
 
-#: Slots are counted within so many hash ranges of each shard, then across the ranges.
-SLOT_RANGES = 1024
+#: Slots are counted within hash ranges of each shard of about so many rows, then across the ranges.
+RANGE_ROWS = 100_000
 
 
 def rendezvous(key: Column, weights: list[float]) -> Column:
     """The shard, from 0, that a key belongs to; shards draw keys in proportion to their weights.
 
-    The score -weight / ln(u), with u uniform in (0, 1), is the usual one for weighted rendezvous hashing.
+    The score -weight / ln(u), with u uniform in (0, 1), is the usual one for weighted rendezvous hashing. u is half a step off
+    the 52 upper bits of the hash, so it is never 0 or 1, and the logarithm never 0.
     Ties go to the higher shard.
     """
     scores = [
         F.struct(
-            (F.lit(-float(weight)) / F.log((F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11) + F.lit(0.5)) / F.lit(float(1 << 53)))).alias("score"),
+            (F.lit(-float(weight)) / F.log((F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 12) + F.lit(0.5)) / F.lit(float(1 << 52)))).alias("score"),
             F.lit(shard).alias("shard"),
         )
         for shard, weight in enumerate(weights)
@@ -43,18 +44,19 @@ def with_slots(rows: DataFrame, shard: str, slot: str = "slot") -> DataFrame:
     """rows, numbered from 0 without gaps within each shard, in the order of a hash of their columns.
 
     Equal rows are counted before the shuffle and numbered after it, so copies of one row don't meet in a
-    task. A shard's rows are numbered in SLOT_RANGES hash ranges; a range's first number is the sum of the
+    task. A shard's rows are numbered in hash ranges, as many as the rows need; a range's first number is the sum of the
     earlier ranges' counts. The distinct rows are written once, as both steps read them.
     """
     names = rows.columns
     at, copies, before = "__range", "__copies", "__before"
     distinct = rows.groupBy(*names).agg(F.count(F.lit(1)).alias(copies))
-    distinct = written(distinct.withColumn(at, F.pmod(F.xxhash64(*names), F.lit(SLOT_RANGES)).cast("int")), "slots")
-    offsets = prefix_offsets(distinct.groupBy(shard, at).agg(F.sum(copies).alias("__n")), [shard], at, "__n").select(F.col(shard).alias("__shard"), F.col(at).alias("__at"), "offset")
+    distinct = written(distinct, "slots")
+    distinct = distinct.withColumn(at, F.pmod(F.xxhash64(*names), F.lit(16 + distinct.count() // RANGE_ROWS)).cast("int"))
+    offsets = prefix_offsets(distinct.groupBy(shard, at).agg(F.sum(copies).alias("__n")), [shard], at, "__n").select(F.col(shard).alias("__shard"), F.col(at).alias("__at"), F.col("offset").alias("__offset"))
     earlier = Window.partitionBy(shard, at).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     numbered = distinct.withColumn(before, F.coalesce(F.sum(copies).over(earlier), F.lit(0)))
     numbered = numbered.join(offsets, (F.col(shard) == F.col("__shard")) & (F.col(at) == F.col("__at")))
-    first = F.col("offset") + F.col(before)
+    first = F.col("__offset") + F.col(before)
     return numbered.select(*names, F.explode(F.sequence(first, first + F.col(copies) - 1)).alias(slot))
 
 

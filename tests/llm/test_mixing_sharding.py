@@ -72,3 +72,32 @@ def test_weights_draw_keys_in_proportion(spark):
     df = sharding.assign_shards(spark.range(30000), "id", [1.0, 2.0, 5.0])
     n = {r["shard"]: r["count"] for r in df.groupBy("shard").count().collect()}
     assert abs(n[0] - 3750) < 300 and abs(n[1] - 7500) < 400 and abs(n[2] - 18750) < 500
+
+
+def test_the_winning_shard_by_brute_force(spark):
+    """Every key's scores computed by the xxhash library, for equal and unequal weights, a null key, and the largest hash."""
+    import math
+    import struct
+
+    import xxhash
+
+    ids = [*range(400), None, -5, 1 << 62]
+    df = spark.createDataFrame([(i, 1) for i in ids], "id long, offset int")
+    for weights in ([1.0] * 16, [0.5, 3.0, 1.0]):
+        got = {r["id"]: r["shard"] for r in sharding.assign_shards(df, "id", weights).collect()}
+        for i in ids:
+            seed = 42 if i is None else xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest()
+            scores = []
+            for shard, w in enumerate(weights):
+                u = ((xxhash.xxh64(struct.pack("<i", shard), seed=seed).intdigest() >> 12) + 0.5) / 2**52
+                scores.append((-w / math.log(u), shard))
+            assert got[i] == max(scores)[1]
+    assert math.log(((2**52 - 1) + 0.5) / 2**52) < 0 and math.log(0.5 / 2**52) > -40
+
+
+def test_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(i, "a b c", "s", 7, 8, 9) for i in range(30)], "doc_id long, text string, source string, offset int, target int, size int")
+    got = mixing.mix(df)
+    assert got.columns == ["doc_id", "text", "source", "offset", "size", "source_size", "target", "budget", "taken"] and {r["offset"] for r in got.collect()} == {7}
+    rows = sharding.with_slots(df.select("doc_id", "offset", (df.doc_id % 3).alias("shard")), "shard").collect()
+    assert len(rows) == 30 and {r["offset"] for r in rows} == {7} and sorted(r["slot"] for r in rows if r["shard"] == 1) == list(range(10))
