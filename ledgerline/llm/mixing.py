@@ -73,13 +73,13 @@ def mix(docs: DataFrame, seed: int = 0, key: str = "doc_id", text: str = "text",
     budgets = targets(totals.groupBy("source").agg(F.sum("__n").alias("source_size")))
     ranges = prefix_offsets(totals, ["source"], "__range", "__n").drop("group_total", "__n")
     ranges = ranges.join(budgets.withColumnRenamed("source", "__of"), F.col("source").eqNullSafe(F.col("__of")))
-    ranges = ranges.select(F.col("source").alias("__source"), F.col("__range").alias("__at"), "offset", "source_size", "target")
+    ranges = ranges.select(F.col("source").alias("__source"), F.col("__range").alias("__at"), F.col("offset").alias("__offset"), "source_size", "target")
     earlier = Window.partitionBy(source, "__range").orderBy("__hash", F.col(key), "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
     rows = rows.join(ranges, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__range") == F.col("__at")))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0)
-    rest = F.col("budget") - epochs * F.col("source_size") - F.col("offset") - F.col("__before")
+    rest = F.col("budget") - epochs * F.col("source_size") - F.col("__offset") - F.col("__before")
     rows = rows.withColumn("budget", budget)
     rows = rows.withColumn("taken", epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(rest, F.col("size"))))
     return rows.select(*kept, *made)
