@@ -13,6 +13,8 @@ text are not read, so their names clash with nothing. An empty table gives an em
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +25,15 @@ SIGNS = (("&", " and "), ("https:", "http:"), ("©", "(c)"))
 #: Runs that are one space: ASCII punctuation and white space but the newline, no-break space, dashes, quotes, bullets.
 RUNS = r"[\x00-\x09\x0B-\x20!-/:-@\[-`{-~\x{A0}\x{2010}-\x{201F}\x{2022}\x{FEFF}]+"
 #: A line that is, after that, a copyright line.
-COPYRIGHT_LINE = r"(?m)^ ?(copyright (c |[0-9]|yyyy|year)|c [0-9]|all rights reserved ?$)[^\n]*"
+COPYRIGHT_LINE = r"(?m)^ ?((portions |parts )?copyright (c |[0-9]|yyyy|year|by |[^\n]*(19|20)[0-9][0-9])|c [0-9]|all rights reserved ?$)[^\n]*"
 #: Spellings that count as one, in the order they are replaced; none begins or ends with a space: fixed values.
 SPELLINGS = (
     ("licenc", "licens"), ("sub licens", "sublicens"), ("non commercial", "noncommercial"), ("non infring", "noninfring"), ("per cent", "percent"), ("isation", "ization"), ("authoris", "authoriz"), ("organis", "organiz"),
     ("recognis", "recogniz"), ("utilis", "utiliz"), ("favour", "favor"), ("labour", "labor"), ("honour", "honor"), ("acknowledgement", "acknowledgment"), ("judgement", "judgment"), ("wilful", "willful"),
     ("fulfilment", "fulfillment"), ("whilst", "while"), ("programme", "program"), ("artefact", "artifact"), ("copyright owner", "copyright holder"),
 )
+#: A text is at most so many times as long as its form: every spelling by itself, and one upon the other.
+LONGER = prod(max(1.0, len(old) / len(new)) for old, new in SPELLINGS)
 #: Rows that a catalogue may have to be broadcast.
 CATALOGUE_MOST = 100_000
 
@@ -214,13 +218,13 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", licenses:
     notes = catalogue(spark, notices, "notice_id", line_form, {})
     longest = notes.agg(F.max("chars")).first()[0] or 0
     rows = docs.select(F.col(key).alias("doc_id"), text_key(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), tidy(F.col(text)).alias("tidied"))
-    # a spelling changes a form's length by less than a tenth; the forms themselves are compared
-    short = F.filter(F.split("tidied", "\n"), lambda x: F.length(x).between(1, int(1.1 * longest) + 2))
+    # lines that are too long to have a notice's form under any spelling, with a space at each end
+    short = F.filter(F.split("tidied", "\n"), lambda x: F.length(x).between(1, int(LONGER * longest) + 3))
     rows = rows.select("doc_id", "text_key", digest(whole_form(F.col("tidied"))).alias("canonical_digest"), F.transform(short, lambda x: digest(line_form(x))).alias("lines"))
     rows = written(rows, "canonical")
-    lines = rows.select("doc_id", "text_key", F.posexplode("lines").alias("i", "line")).distinct()
+    lines = rows.select("doc_id", "text_key", F.posexplode("lines").alias("i", "line"))
     found = lines.join(F.broadcast(notes.drop("chars")), F.col("line") == F.col("known_notice_id"))
-    found = found.groupBy("doc_id", "text_key").agg(F.array_join(F.sort_array(F.collect_set("notice_id")), ",").alias("notice_ids"), F.count(F.lit(1)).alias("n_notices"))
+    found = found.select("doc_id", "text_key", "i", "notice_id").distinct().groupBy("doc_id", "text_key").agg(F.array_join(F.sort_array(F.collect_set("notice_id")), ",").alias("notice_ids"), F.count(F.lit(1)).alias("n_notices"))
     found = written(found.withColumnsRenamed({"doc_id": "of_id", "text_key": "of_key"}), "notices")
     whole = F.broadcast(catalogue(spark, licenses, "license_id", whole_form, digests).drop("chars"))
     out = rows.join(whole, F.col("canonical_digest") == F.col("known_license_id"), "left")

@@ -211,3 +211,14 @@ def test_pipeline_stages_take_hostile_rows(spark):
         assert stage(spark, empty, SF).collect() == []
         out = stage(spark, docs, SF)
         out.collect()
+
+
+def test_notices_of_long_spellings_and_copyright_lines(spark):
+    """A notice of nothing but spellings that are a quarter longer than their form finds itself and its form; owners' lines go in every form."""
+    notices = [("long", " ".join(["programme"] * 20)), ("pct", " ".join(["whilst per cent"] * 9))]
+    mit = licenses.LICENSES["MIT"]
+    heads = ["Copyright Jane Doe 2020", "Copyright by Jane", "Portions Copyright (c) 2020 Jane", "Copyright (c) 2020, 2021 Jane Doe", "© 2019 Jane", "Parts Copyright Acme Inc. 1999-2003"]
+    rows = [(0, notices[0][1]), (1, " ".join(["program"] * 20)), (2, "x\n" + notices[1][1].upper() + "\ny"), (3, "programme"), *[(10 + i, f"{h}\n{mit}") for i, h in enumerate(heads)], (30, f"Copyright notice of 7 parts\n{mit}")]
+    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string"), notices=notices).collect()}
+    assert [got[i].notice_ids for i in range(4)] == ["long", "long", "pct", ""]
+    assert {got[10 + i].license_id for i in range(len(heads))} == {"MIT"} and got[30].license_id is None
