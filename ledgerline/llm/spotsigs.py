@@ -8,7 +8,9 @@ Two documents are near duplicates where the Jaccard similarity of their sets is
 partitioned by their length, so that near duplicates are in one partition or in two that follow each other. Each set
 is listed under its rarest signatures, as many as two near duplicates can't all differ in, in its own and the next
 partition. Those listed together are compared if their lengths allow the similarity: first each with the smallest of
-its list, then, in lists that hold several components by then, all of different components, in blocks. There a pair
+its list; then, in lists that hold several components by then, each with HUBS others, dealt by a hash, of other
+components, ROUNDS times over, which joins a crowd of sets that are mostly alike at a cost that grows with the crowd and
+not with its pairs; then, in lists that still hold several components, all of different components, in blocks. A pair
 is passed over by the sets' bitmaps, of WORDS * 64 bits, each signature flipping one: where they differ in more bits
 than two near duplicates can have signatures apart. So every link between different sets is found or lies within a
 component; equal sets are one from the start. A list of very many sets that are not alike costs as many comparisons of
@@ -46,6 +48,9 @@ COUNTED = 1 << 16
 BLOCK = 256
 #: Numbers of 64 bits in a set's bitmap.
 WORDS = 8
+#: Sets of a list that each other one is compared with in a round, and rounds, before all are compared with all.
+HUBS = 8
+ROUNDS = 2
 
 
 def signatures(text: Column, frame: DataFrame, name: str) -> DataFrame:
@@ -172,17 +177,57 @@ def set_classes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     asked = written(rows.select(F.col("id").alias("of")).distinct(), "mixed-asked", "snappy")
     maps = written(bitmaps(sets.join(asked, F.col("id") == F.col("of"), "left_semi")), "bitmaps", "snappy")
     rows = written(rows.join(maps, F.col("id") == F.col("of")).drop("of"), "mapped-sets", "snappy")
+    links, compared = roots.select(F.col("root").alias("a"), F.col("node").alias("b")), pairs
+    for turn in range(ROUNDS):
+        if rows.isEmpty():
+            break
+        met = written(hub_pairs(rows, similarity, turn).join(compared, ["a", "b"], "left_anti"), "hub-pairs", "snappy")
+        found = alike(sets, met.select("a", "b"), similarity)
+        rows = merged(rows, found.join(met, ["a", "b"]).select("ra", "rb"))
+        links, compared = links.union(found), compared.union(met.select("a", "b"))
+    rest = written(all_pairs(rows, similarity).join(compared, ["a", "b"], "left_anti"), "rest", "snappy")
+    return written(connected_components(links.union(alike(sets, rest, similarity))), "classes", "snappy")
+
+
+def may_be_alike(one: str, other: str, similarity: float) -> Column:
+    """Whether two structs (id, n, root, bits) are of different components and can be alike by their sizes and bitmaps."""
+    of = lambda side, part: F.col(f"{side}.{part}")
+    sizes = F.least(of(one, "n"), of(other, "n")) >= similarity * F.greatest(of(one, "n"), of(other, "n"))
+    most_apart = (of(one, "n") + of(other, "n")) * ((1 - similarity) / (1 + similarity)) + F.lit(1e-9)
+    return (of(one, "root") != of(other, "root")) & sizes & (bits_apart(of(one, "bits"), of(other, "bits")) <= most_apart)
+
+
+def hub_pairs(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Pairs (a, b), a < b, with a root of each, ra and rb: each set of a list with up to HUBS of the list's, others in each turn.
+
+    rows: (list, id, n, root, bits). A list's hubs are the least by a hash in each of HUBS shares that the hash deals.
+    """
+    entry = rows.select("list", F.struct("id", "n", "root", "bits").alias("one"), F.xxhash64("id", F.lit(turn)).alias("h"))
+    shares = [F.min_by(F.when(F.pmod("h", F.lit(HUBS)) == k, F.col("one")), F.when(F.pmod("h", F.lit(HUBS)) == k, F.col("h"))) for k in range(HUBS)]
+    hubs = entry.groupBy("list").agg(F.array_compact(F.array(*shares)).alias("hubs")).select(F.col("list").alias("of"), F.explode("hubs").alias("hub"))
+    hubs = written(hubs, "hubs", "snappy")
+    met = entry.join(hubs, (F.col("list") == F.col("of")) & may_be_alike("one", "hub", similarity))
+    low, high = (lambda part: F.least(f"one.{part}", f"hub.{part}")), (lambda part: F.greatest(f"one.{part}", f"hub.{part}"))
+    return met.select(low("id").alias("a"), high("id").alias("b"), low("root").alias("ra"), high("root").alias("rb")).distinct()
+
+
+def merged(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (list, ..., root), their components joined by pairs of roots, of those lists that still hold several."""
+    joined = written(connected_components(roots).select(F.col("node").alias("part"), F.col("root").alias("whole")), "joined-roots", "snappy")
+    rows = written(rows.join(joined, F.col("root") == F.col("part"), "left").withColumn("root", F.coalesce("whole", "root")).drop("part", "whole"), "merged-sets", "snappy")
+    several = rows.groupBy("list").agg((F.min("root") < F.max("root")).alias("several")).filter("several").select(F.col("list").alias("of"))
+    several = written(several, "still-mixed", "snappy")
+    return written(rows.join(several, F.col("list") == F.col("of"), "left_semi"), "mixed-sets", "snappy")
+
+
+def all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of sets of one list and different components that can be alike, met in blocks."""
     one = rows.select("list", F.struct("id", "n", "root", "bits").alias("one"), F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"))
     other = rows.select("list", F.struct("id", "n", "root", "bits").alias("other"), F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), "block")).alias("x"))
-    met = (F.col("one.root") != F.col("other.root")) & ((F.col("l.x") < F.col("l.y")) | (F.col("one.id") < F.col("other.id")))
-    met = met & (F.least("one.n", "other.n") >= similarity * F.greatest("one.n", "other.n"))
-    most_apart = (F.col("one.n") + F.col("other.n")) * ((1 - similarity) / (1 + similarity)) + F.lit(1e-9)
-    met = met & (bits_apart(F.col("one.bits"), F.col("other.bits")) <= most_apart)
+    once = (F.col("l.x") < F.col("l.y")) | (F.col("one.id") < F.col("other.id"))
     same = (F.col("l.list") == F.col("r.list")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
-    rest = one.alias("l").join(other.alias("r"), same & met).select(F.least("one.id", "other.id").alias("a"), F.greatest("one.id", "other.id").alias("b")).distinct()
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest", "snappy")
-    links = alike(sets, rest, similarity)
-    return written(connected_components(links.union(roots.select("root", "node"))), "classes", "snappy")
+    met = one.alias("l").join(other.alias("r"), same & once & may_be_alike("one", "other", similarity))
+    return met.select(F.least("one.id", "other.id").alias("a"), F.greatest("one.id", "other.id").alias("b")).distinct()
 
 
 def with_classes(rows: DataFrame, key: str = "doc_id", signs: str = "own", similarity: float = SIMILARITY) -> DataFrame:

@@ -5,6 +5,8 @@ import random
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from ledgerline.llm import licenses, lines, spotsigs
 
 SF = "/root/testdata/sf0.001"
@@ -222,3 +224,43 @@ def test_notices_of_long_spellings_and_copyright_lines(spark):
     got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string"), notices=notices).collect()}
     assert [got[i].notice_ids for i in range(4)] == ["long", "long", "pct", ""]
     assert {got[10 + i].license_id for i in range(len(heads))} == {"MIT"} and got[30].license_id is None
+
+
+def test_spotsigs_crowd_around_the_threshold(spark):
+    """Sets of one list, most pairs near 0.8: the classes of all pairs, and few pairs left for the comparison of all."""
+    rng = random.Random(5)
+    base, rows = list(range(1000, 1060)), [(0, [1, *range(5000, 5047)] + list(range(1000, 1012)))]
+    for i in range(1, 400):
+        rows.append((i, sorted(rng.sample(base, 60 - rng.randint(3, 9))) + [7000 + i % 40]))
+    rows += [(400 + i, [1000, 20_000 + i, *range(30_000 + 100 * i, 30_040 + 100 * i)]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, signs array<long>")
+    sets, root = [set(x) for _, x in rows], list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    want = {i: top(i) for i in range(len(rows))}
+    linked = {x for i, x in want.items() if x != i}
+    got = {r.node: r.root for r in spotsigs.set_classes(df).collect()}
+    assert got == {i: x for i, x in want.items() if x != i or i in linked}
+    assert len(linked) < len(got) < len(rows)
+
+
+def test_spotsigs_hub_pairs_are_linear(spark):
+    """Each set of a crowded list meets HUBS others at most, and equal components meet nothing."""
+    rows = [("x", i, 10, i % 300, tuple([0] * spotsigs.WORDS)) for i in range(600)]
+    bits = "struct<" + ",".join(f"b{k}:long" for k in range(spotsigs.WORDS)) + ">"
+    df = spark.createDataFrame(rows, f"list string, id long, n int, root long, bits {bits}")
+    pairs = spotsigs.hub_pairs(df, 0.8, 0).collect()
+    assert 0 < len(pairs) <= 600 * spotsigs.HUBS and all(p.a < p.b and p.ra < p.rb for p in pairs)
+    assert {x for p in pairs for x in (p.a, p.b)} == set(range(600))
+    assert spotsigs.hub_pairs(df.withColumn("root", F.lit(1)), 0.8, 0).collect() == []
+    assert spotsigs.hub_pairs(df.limit(0), 0.8, 0).collect() == []
