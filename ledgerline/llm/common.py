@@ -60,6 +60,11 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def own_prefix(df: DataFrame) -> str:
+    """Underscores, more than any column of df begins with, for names that clash with none of them."""
+    return "_" * (2 + max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0))
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, written
+from .common import GAP, WORD, own_prefix, written
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -121,10 +121,12 @@ def assessed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
 
 def cleaned(docs: DataFrame, text: str = "text", source: str = "source", **limits) -> DataFrame:
     """The rows of docs that are kept, all their columns, their lines above the limit removed from the text."""
+    own = own_prefix(docs)
     verdicts = assessed(docs, text=text, source=source, **limits)
-    verdicts = verdicts.groupBy("host", "text_hash").agg(F.any_value("kept").alias("__kept"), F.any_value("removed").alias("__removed"))
-    verdicts = written(verdicts.withColumnsRenamed({"host": "__host", "text_hash": "__of"}), "verdicts")
-    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.join(verdicts, F.col(source).eqNullSafe(F.col("__host")) & (F.col("__hash") == F.col("__of"))).filter("__kept")
-    left = F.array_join(F.filter(text_lines(F.col(text)), lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("__removed"), line_hash(x)))), "\n")
-    return rows.withColumn(text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(left)).select(*docs.columns)
+    verdicts = verdicts.groupBy("host", "text_hash").agg(F.any_value("kept").alias(f"{own}kept"), F.any_value("removed").alias(f"{own}removed"))
+    verdicts = written(verdicts.withColumnsRenamed({"host": f"{own}host", "text_hash": f"{own}of"}), "verdicts")
+    rows = docs.withColumn(f"{own}hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.join(verdicts, F.col(source).eqNullSafe(F.col(f"{own}host")) & (F.col(f"{own}hash") == F.col(f"{own}of"))).filter(F.col(f"{own}kept"))
+    removed = F.col(f"{own}removed")
+    left = F.array_join(F.filter(text_lines(F.col(text)), lambda x: ~(x.rlike(WORD) & F.array_contains(removed, line_hash(x)))), "\n")
+    return rows.withColumn(text, F.when(removed.isNull(), F.col(text)).otherwise(left)).select(*docs.columns)

@@ -91,3 +91,9 @@ def test_counts_and_verdicts(spark):
     assert out.columns == df.columns and out.count() == sum(e[7] for e in expected)
     assert not any("boiler plate" in r.text or "newsletter" in r.text for r in out.filter("source in ('h1', 'h2')").collect())
     assert quality.assessed(df.limit(0)).collect() == []
+
+
+def test_cleaned_with_names_of_its_own(spark):
+    rows = [(i, "words of this text are many enough to stay here " + str(i), "h1", "x", 1, 2) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __of string, __kept int, ___hash int")
+    assert sorted(tuple(r) for r in quality.cleaned(df).collect()) == rows
