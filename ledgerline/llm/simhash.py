@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest
 
-from .common import GAP, discard, written
+from .common import GAP, discard, own_prefix, text_key, written
 from .components import connected_components
 
 BITS = 64
@@ -41,22 +41,34 @@ SEED = 42
 BUCKET_MOST = 64
 #: Numbers of parts that are tried.
 PARTS = (2, 3, 4)
+#: Minima of a text's sketch, sixteen bands of BAND: at a similarity of 0.8 one pair of a hundred shares none.
+MINIMA = 96
+BAND = 6
+#: Texts of a bucket that are compared with so many others in one place.
+BLOCK = 256
+#: The orders of the minima: hashes times an odd factor plus a summand, from the golden ratio's powers in 64 bits.
+FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 2**64) for i in range(MINIMA)], np.uint64)
+SUMMANDS = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 2, 2**64) for i in range(MINIMA)], np.uint64)
+
+
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of every shingle of a text's words, A to Z lower-cased, split at ASCII white space; of fewer words, of all of them."""
+    words = text.lower().split()
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
+    return np.array([xxh64_intdigest(joined[s:e], seed) for s, e in spans], np.uint64)
 
 
 def fingerprint_bytes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The SimHash of one text, as an unsigned number; A to Z are lower-cased, words are split at ASCII white space."""
-    words = text.lower().split()
-    if not words:
+    """The SimHash of one text, as an unsigned number; zero without words."""
+    if not text.split():
         return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = np.array([xxh64_intdigest(joined, seed)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
-        hashes = np.array([xxh64_intdigest(joined[s:e], seed) for s, e in spans], np.uint64)
+    hashes = shingle_hashes(text, shingle, seed)
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 65536):
         block = hashes[i : i + 65536]
@@ -230,48 +242,149 @@ def with_word_shingles(texts: DataFrame, text: str, n: int, out: str) -> DataFra
     return rows.select(*names, F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice("__words", i, n)))).alias(out))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, most: int = 4, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group of near duplicates: the first by id.
+def minima(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    """The least of the text's shingle hashes in each of MINIMA orders."""
+    hashes = shingle_hashes(text, words, seed)
+    out = np.full(MINIMA, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 4096):
+        np.minimum(out, (hashes[i : i + 4096, None] * FACTORS + SUMMANDS).min(axis=0), out=out)
+    return out
+
+
+def sketch(text: Column, words: int) -> Column:
+    """`bands`, a hash of each BAND minima, and `fine`, four bits of every minimum, side by side in numbers."""
+    shifts = np.arange(0, 64, 4, dtype=np.uint64)
 
-    Equal texts are one group. Texts whose fingerprints are in one component are compared with the component's
-    first, and go where the Jaccard similarity of their shingles of `words` words is `similarity` or more; what is
-    left has a first text of its own in the next round, until no component has two texts left: as many rounds as the
-    component of most groups has groups. So no text goes on its fingerprint alone, and none stays uncompared.
+    @F.arrow_udf("struct<fine: array<bigint>, bands: array<bigint>>")
+    def sketched(texts: pa.Array) -> pa.Array:
+        fine, bands = [], []
+        for x in texts:
+            least = minima(x.as_buffer().to_pybytes() if x.is_valid else b"", words)
+            fine.append(np.bitwise_or.reduce((least & np.uint64(15)).reshape(-1, 16) << shifts, axis=1).view(np.int64))
+            bands.append(np.array([xxh64_intdigest(least[i : i + BAND].tobytes(), i) for i in range(0, MINIMA, BAND)], np.uint64).view(np.int64))
+        lists = [pa.array(list(rows), pa.list_(pa.int64())) for rows in (fine, bands)]
+        return pa.StructArray.from_arrays(lists, ["fine", "bands"])
+
+    return sketched(text)
+
+
+def agreeing(a: Column, b: Column) -> Column:
+    """How many of two texts' minima agree, by their `fine`."""
+    out = F.lit(MINIMA)
+    for k in range(MINIMA // 16):
+        x = a[k].bitwiseXOR(b[k])
+        x = x.bitwiseOR(F.shiftright(x, 1))
+        x = x.bitwiseOR(F.shiftright(x, 2))  # the lowest bit of each four is set if any is
+        out = out - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return out
+
+
+def least_agreeing(similarity: float) -> int:
+    """Minima that must agree before sets are compared: of pairs with the similarity, fewer do in one of a thousand."""
+    p = similarity + (1 - similarity) / 16
+    return int(MINIMA * p - 3.2 * (MINIMA * p * (1 - p)) ** 0.5)
+
+
+def alike(bodies: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose shingle sets have the similarity, by the sets themselves. bodies: `t` and `text`, one row each."""
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "asked", "snappy")
+    texts = bodies.join(asked, F.col("t") == F.col("of"), "left_semi")
+    sets = written(with_word_shingles(texts.select("t", "text"), "text", words, "set"), "shingle-sets")
+    both = pairs.join(sets.select(F.col("t").alias("ta"), F.col("set").alias("sa")), F.col("a") == F.col("ta"))
+    both = written(both.select("a", "b", "sa"), "first-sets")
+    both = both.join(sets.select(F.col("t").alias("tb"), F.col("set").alias("sb")), F.col("b") == F.col("tb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    # common stands here once, as each mention makes the intersection anew
+    near = F.exists(F.array(common), lambda c: c >= similarity * (F.size("sa") + F.size("sb") - c))
+    links = written(both.filter(near).select("a", "b"), "text-links", "snappy")
+    for old in (asked, sets):
+        discard(old)
+    return links
+
+
+def crowd_of(members: DataFrame) -> DataFrame:
+    """(bucket, t, copies, fine) for every text in a bucket with others: its SimHash component, and each of its bands."""
+    buckets = F.concat(F.array(F.xxhash64(F.lit("component"), "root")), "bands")
+    entries = members.select("t", F.explode(buckets).alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("bucket").alias("of"))
+    shared = written(shared, "shared-buckets", "snappy")
+    crowd = written(entries.join(shared, F.col("bucket") == F.col("of")).select("bucket", "t"), "crowd", "snappy")
+    facts = members.select(F.col("t").alias("of"), "copies", "fine")
+    return written(crowd.join(facts, F.col("t") == F.col("of")).select("bucket", "t", "copies", "fine"), "sketched-crowd", "snappy")
+
+
+def hub_pairs(crowd: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b), a < b: every text of a bucket with the bucket's text of most copies, if enough of their minima agree."""
+    hubs = crowd.groupBy("bucket").agg(F.max(F.struct("copies", "t", "fine")).alias("hub"))
+    hubs = written(hubs.select(F.col("bucket").alias("of"), F.col("hub.t").alias("h"), F.col("hub.fine").alias("hf")), "hubs", "snappy")
+    met = crowd.join(hubs, F.col("bucket") == F.col("of")).filter((F.col("t") != F.col("h")) & (agreeing(F.col("fine"), F.col("hf")) >= least))
+    return written(met.select(F.least("t", "h").alias("a"), F.greatest("t", "h").alias("b")).distinct(), "hub-pairs", "snappy")
+
+
+def pairs_left(crowd: DataFrame, roots: DataFrame, compared: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b), with their roots ra and rb, of a bucket but of two components, not compared yet, if enough of their minima agree.
+
+    A bucket's texts meet in blocks of BLOCK, so that no task holds a bucket, and only pairs that pass are listed.
+    """
+    named = roots.select(F.col("node").alias("of"), "root")
+    rows = crowd.join(named, F.col("t") == F.col("of"), "left").select("bucket", "t", "fine", F.coalesce("root", "t").alias("root"))
+    rows = written(rows, "rooted-crowd", "snappy")
+    mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
+    mixed = written(mixed.select(F.col("bucket").alias("of"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed-buckets", "snappy")
+    rows = rows.join(mixed, F.col("bucket") == F.col("of")).select("bucket", "t", "fine", "root", F.pmod(F.xxhash64("t"), "blocks").cast("int").alias("block"), "blocks")
+    rows = written(rows, "mixed-texts", "snappy")
+    text = F.struct("t", "root", "fine")
+    one = rows.select("bucket", text.alias("one"), F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"))
+    other = rows.select("bucket", text.alias("other"), F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), "block")).alias("x"))
+    met = (F.col("one.root") != F.col("other.root")) & ((F.col("x") < F.col("y")) | (F.col("one.t") < F.col("other.t")))
+    pairs = one.join(other, ["bucket", "x", "y"]).filter(met & (agreeing(F.col("one.fine"), F.col("other.fine")) >= least))
+    ordered = F.when(F.col("one.t") < F.col("other.t"), F.struct("one", "other")).otherwise(F.struct(F.col("other").alias("one"), F.col("one").alias("other")))
+    pairs = pairs.select(ordered.alias("p")).select(F.col("p.one.t").alias("a"), F.col("p.other.t").alias("b"), F.col("p.one.root").alias("ra"), F.col("p.other.root").alias("rb"))
+    return written(pairs.distinct().join(compared, ["a", "b"], "left_anti"), "pairs-left", "snappy")
+
+
+def text_groups(members: DataFrame, bodies: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, root) for every text `t` of members in a group with others: groups are what links between similar texts join."""
+    least, crowd = least_agreeing(similarity), crowd_of(members)
+    compared = hub_pairs(crowd, least)
+    roots = written(connected_components(alike(bodies, compared, words, similarity)), "hub-roots", "snappy")
+    rest = pairs_left(crowd, roots, compared, least)
+    more = alike(bodies, rest.select("a", "b"), words, similarity).join(rest, ["a", "b"]).select("ra", "rb")
+    joined = written(connected_components(more).select(F.col("node").alias("part"), F.col("root").alias("whole")), "joined-roots", "snappy")
+    roots = roots.unionByName(joined.select(F.col("part").alias("node"), F.col("part").alias("root"))).distinct()
+    return roots.join(joined, F.col("root") == F.col("part"), "left").select("node", F.coalesce("whole", "root").alias("root"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, most: int = 4, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near duplicates: the first by id, a null id before all.
+
+    Equal texts are one text, named by 128 bits. Two texts are linked if the Jaccard similarity of their shingles of
+    `words` words is `similarity` or more, and a group is what links join, so no text goes on its fingerprint alone.
+    Texts meet where their SimHashes fall in one component at `most` differing bits, and, as 64 bits find few of the
+    pairs at such a similarity, where they share a band of minima of their shingles' hashes. In each bucket all meet
+    the text of most copies first; then texts of a bucket that are still in two components meet each other, if enough
+    of their minima agree. That is quadratic in a bucket of many texts that are not alike, in minima and not in texts.
+    Null texts count as empty, rows equal in id and text as one; an empty table gives an empty result, and columns of
+    any name stay as they are.
     """
-    text_ = F.coalesce(F.col(text), F.lit(""))
-    rows = written(docs.select(F.col(key).alias("doc_id"), F.xxhash64(text_).alias("t"), fingerprint(F.col(text), shingle).alias("fp")), "fingerprints", "snappy")
+    own, text_ = own_prefix(docs), F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("doc_id"), text_key(text_).alias("t"), fingerprint(F.col(text), shingle).alias("fp"), sketch(F.col(text), words).alias("s"))
+    rows = written(rows.select("doc_id", "t", "fp", "s.fine", "s.bands"), "fingerprints", "snappy")
     rooted = components_of(rows.select("doc_id", "fp"), most)
-    texts = written(rows.groupBy("t").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("copies")), "texts", "snappy")
-    members = texts.join(rooted.select("print", "root"), F.col("fp") == F.col("print")).select("t", "first", "root")
-    sizes = written(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("root").alias("of")), "groups", "snappy")
-    left = written(members.join(sizes, F.col("root") == F.col("of")).drop("of"), "members", "snappy")
-    asked = left.select(F.col("t").alias("of"))
-    bodies = docs.select(F.xxhash64(text_).alias("t"), text_.alias("text")).join(asked, F.col("t") == F.col("of"), "left_semi").groupBy("t").agg(F.any_value("text").alias("text"))
-    bodies = written(bodies, "bodies")
-    gone = None
-    while True:
-        firsts = left.groupBy("root").agg(F.min(F.struct("first", "t")).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        firsts = written(firsts.select(F.col("root").alias("of"), F.col("x.t").alias("first_t")), "firsts", "snappy")
-        if firsts.isEmpty():
-            break
-        pairs = left.join(firsts, F.col("root") == F.col("of")).select("t", "first_t").filter(F.col("t") != F.col("first_t"))
-        first_texts = firsts.select(F.col("first_t").alias("ft")).join(bodies, F.col("ft") == F.col("t")).select("ft", "text")
-        first_texts = written(with_word_shingles(first_texts, "text", words, "first_set"), "first-texts")
-        member_texts = written(pairs.join(bodies.withColumnRenamed("t", "bt"), F.col("t") == F.col("bt")).select("t", "first_t", "text"), "member-texts")
-        both = with_word_shingles(member_texts.join(first_texts, F.col("first_t") == F.col("ft")), "text", words, "set")
-        common = F.size(F.array_intersect("set", "first_set"))
-        alike = written(both.filter(common >= similarity * (F.size("set") + F.size("first_set") - common)).select(F.col("t").alias("gone")), "alike", "snappy")
-        done = alike.union(firsts.select("first_t"))
-        left = written(left.join(done, F.col("t") == F.col("gone"), "left_anti"), "members", "snappy")
-        gone = alike if gone is None else written(gone.union(alike), "gone", "snappy")
-        for old in (first_texts, member_texts):
-            discard(old)
-    stay = texts if gone is None else texts.join(gone, F.col("t") == F.col("gone"), "left_anti")
-    stay = stay.select(F.col("t").alias("__t"), F.col("first").alias("__first"))
-    stay = written(stay, "stay", "snappy")
-    kept = docs.withColumn("__of", F.xxhash64(text_)).join(stay, (F.col("__of") == F.col("__t")) & F.col(key).eqNullSafe(F.col("__first"))).drop("__t", "__first")
-    again = rows.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id"), F.col("t").alias("__again"))
+    texts = rows.groupBy("t").agg(F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.min("fp").alias("fp"), F.any_value("fine").alias("fine"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    texts = written(texts.withColumn("first", F.when(F.col("nulls") == 0, F.col("low"))), "texts", "snappy")
+    members = written(texts.join(rooted.select("print", "root"), F.col("fp") == F.col("print")).select("t", "copies", "fine", "bands", "root"), "members", "snappy")
+    bodies = docs.select(text_key(text_).alias("t"), F.col(key).alias("id"), text_.alias("text"))
+    chosen = texts.select(F.col("t").alias("of"), "first")
+    bodies = bodies.join(chosen, (F.col("t") == F.col("of")) & F.col("id").eqNullSafe(F.col("first")), "left_semi").select("t", "text").dropDuplicates(["t"])
+    groups = written(text_groups(members, bodies, words, similarity).select(F.col("node").alias("of"), F.col("root").alias("group")), "text-groups", "snappy")
+    grouped = texts.select("t", "first").join(groups, F.col("t") == F.col("of"))
+    keepers = grouped.groupBy("group").agg(F.min(F.struct("first", "t")).alias("x")).select("x.t", "x.first")
+    alone = texts.select("t", "first").join(groups, F.col("t") == F.col("of"), "left_anti")
+    stay = written(alone.union(keepers).select(F.col("t").alias(f"{own}t"), F.col("first").alias(f"{own}first")), "stay", "snappy")
+    kept = docs.withColumn(f"{own}of", text_key(text_)).join(stay, (F.col(f"{own}of") == F.col(f"{own}t")) & F.col(key).eqNullSafe(F.col(f"{own}first"))).drop(f"{own}t", f"{own}first")
+    again = rows.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias(f"{own}id"), F.col("t").alias(f"{own}again"))
     again = written(again, "rows-again", "snappy")
-    same = (F.col("__of") == F.col("__again")) & F.col(key).eqNullSafe(F.col("__id"))
-    out = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([key, "__of"]))
+    same = (F.col(f"{own}of") == F.col(f"{own}again")) & F.col(key).eqNullSafe(F.col(f"{own}id"))
+    out = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([key, f"{own}of"]))
     return out.select(*docs.columns)
