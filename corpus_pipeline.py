@@ -31,8 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the first by id.
 
-    SimHash over three words, linked at 4 of 64 differing bits or fewer, brings texts together; a text goes if the
-    Jaccard similarity of its five-word shingles with its group's first text is 0.8 or more.
+    SimHash over three words, linked at 4 of 64 differing bits or fewer, brings texts together, and so do bands of minima
+    over five words, as 64 bits find few of the pairs at this similarity. Texts are linked if the Jaccard similarity of
+    their five-word shingles is 0.8 or more, and what links join is a group.
     """
     return whole(simhash.one_of_each(whole(docs)))
 
