@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .common import GAP, discard, written
 from .components import connected_components
@@ -40,10 +41,9 @@ CHAIN = 2
 SPAN = 10
 #: Documents that share a range of ids in the search for each one's successor.
 RANGE_ROWS = 1000
-MOST_RANGES = 4096
+#: Ranges that are looked for, so that their ends are a few megabytes; beyond, ranges grow and their sorts spill.
+MOST_RANGES = 1 << 17
 SIMILARITY = 0.8
-#: Signatures are counted in so many groups to tell rare from common ones: one row of counts, of half a megabyte.
-COUNTED = 1 << 16
 #: Sets of a list that are compared with so many others in one place.
 BLOCK = 256
 #: Numbers of 64 bits in a set's bitmap.
@@ -82,24 +82,23 @@ def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
 def with_next(docs: DataFrame, key: str, text: str, out: str) -> DataFrame:
     """docs (two columns: a whole number as key, text) with the text of the next row by descending key, nulls last, after the last the first's.
 
-    Rows equal in key follow each other by a hash of the text. The key's range is cut at its quantiles into
-    ranges of about RANGE_ROWS rows; within a range a window finds the next row. Each range also gets a copy of
-    the first row of the next range, behind its own, so that its last row has a next one as well.
+    Rows equal in key follow each other by a hash of the text. Rows whose hash falls in a small share of all hashes
+    begin ranges of about RANGE_ROWS rows, so ids that are repeated or null are cut by their texts; within a
+    range a window finds the next row. Each range also gets a copy of the first row of the next range, behind its own,
+    so that its last row has a next one as well.
     """
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    count = rows.count()
-    ranges = min(MOST_RANGES, max(1, count // RANGE_ROWS))
-    cuts = rows.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges)).first()[0] or []
-    cuts = sorted(set(cuts)) if ranges > 1 else []
-    place = F.lit(0)
-    if cuts:
-        place = F.when(F.col("k").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c > F.col("k"))))
-    rows = rows.withColumn("place", place)
-    heads = rows.groupBy("place").agg(F.min(F.struct(F.col("k").isNull().alias("none"), F.bitwise_not("k").alias("down"), "h")).alias("head"))
+    at = F.struct(F.col("k").isNull().alias("none"), F.bitwise_not("k").alias("down"), "h")
+    one_in = max(RANGE_ROWS, rows.count() // MOST_RANGES)
+    begins = rows.filter(F.pmod(F.xxhash64(F.lit("range"), "k", "h"), F.lit(one_in)) == 0)
+    begins = begins.agg(F.to_json(F.sort_array(F.collect_set(at)))).first()[0]  # about MOST_RANGES short entries at most
+    begins = F.from_json(F.lit(begins), ArrayType(rows.select(at.alias("at")).schema["at"].dataType))
+    rows = rows.withColumn("place", place_among(begins, at))
+    heads = rows.groupBy("place").agg(F.min(at).alias("head"))
     order = Window.orderBy("place")
     heads = heads.select("place", "head.none", "head.down", "head.h").withColumn("goes_to", F.coalesce(F.lag("place").over(order), F.max("place").over(Window.partitionBy())))
     heads = written(heads.select("place", F.when(~F.col("none"), F.bitwise_not("down")).alias("head_k"), F.col("h").alias("head_h"), "goes_to"), "range-heads", "snappy")
-    heads = F.broadcast(heads.withColumnRenamed("place", "head_place"))  # at most MOST_RANGES + 1 narrow rows
+    heads = F.broadcast(heads.withColumnRenamed("place", "head_place"))  # about MOST_RANGES narrow rows at most
     copies = rows.join(heads, (F.col("place") == F.col("head_place")) & F.col("k").eqNullSafe(F.col("head_k")) & (F.col("h") == F.col("head_h")))
     copies = copies.groupBy("goes_to", "k", "h").agg(F.any_value("t").alias("t")).select("k", "t", "h", F.col("goes_to").alias("place"))
     all_rows = rows.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1)))
@@ -107,22 +106,28 @@ def with_next(docs: DataFrame, key: str, text: str, out: str) -> DataFrame:
     return all_rows.withColumn(out, F.lead("t").over(within)).filter("copy = 0").select(F.col("k").alias(key), F.col("t").alias(text), out)
 
 
+def place_among(values: Column, at: Column) -> Column:
+    """How many of the sorted values are `at` or less, by binary search; beyond the array's end nothing is less."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(MOST_RANGES.bit_length() + 2))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(values, n + step - 1) <= at, n + step).otherwise(n))
+
+
 def listed(sets: DataFrame, similarity: float) -> DataFrame:
     """(list, id, n): each set of `sets` (id, signs) under each of its rarest signatures, in its length partition and the next.
 
     Two sets of n and m signatures, n the larger, with the similarity have at least similarity * n in common, so they
     share one of the first n - ceil(similarity * n) + 1 of each, in any one order of all signatures.
+    The order is by how many sets have a signature; those of one set alone list nothing.
     """
-    groups = sets.select(F.explode("signs").alias("s")).groupBy(F.pmod("s", F.lit(COUNTED)).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    every = sets.sparkSession.range(COUNTED).join(groups, F.col("id") == F.col("at"), "left").select(F.struct("id", F.coalesce("n", F.lit(0)).alias("n")).alias("x"))
-    counts = every.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["n"]).alias("counts"))
-    counts = F.broadcast(written(counts, "signature-counts"))  # one row
-    n = F.size("signs")
-    rare = F.sort_array(F.transform("signs", lambda s: F.struct(F.get("counts", F.pmod(s, F.lit(COUNTED)).cast("int")).alias("n"), s.alias("s"))))
+    rows = sets.select("id", F.size("signs").alias("n"), F.explode("signs").alias("s"))
+    counts = rows.groupBy("s").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select(F.col("s").alias("of"), "sets")
+    counts = written(counts, "signature-counts", "snappy")
+    counted = rows.join(counts, F.col("s") == F.col("of"), "left").select("id", "n", F.struct(F.coalesce("sets", F.lit(1)).alias("sets"), "s").alias("x"))
+    n = F.col("n")
     length = F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / similarity)) + F.lit(1e-9)).cast("int")
     first = (n - F.ceil(similarity * n - F.lit(1e-9)) + 1).cast("int")
-    rows = sets.crossJoin(counts).select("id", n.alias("n"), length.alias("length"), F.slice(rare, F.lit(1), first).alias("firsts"))
-    rows = rows.select("id", "n", "length", F.explode("firsts.s").alias("s"))
+    rare = counted.groupBy("id", "n").agg(F.sort_array(F.collect_list("x")).alias("rare"))  # one set's signatures
+    rows = rare.select("id", "n", length.alias("length"), F.explode(F.slice("rare", F.lit(1), first)).alias("x")).filter("x.sets > 1").select("id", "n", "length", "x.s")
     return rows.select("id", "n", F.explode(F.array(F.xxhash64("s", "length"), F.xxhash64("s", F.col("length") + 1))).alias("list"))
 
 

@@ -264,3 +264,18 @@ def test_spotsigs_hub_pairs_are_linear(spark):
     assert {x for p in pairs for x in (p.a, p.b)} == set(range(600))
     assert spotsigs.hub_pairs(df.withColumn("root", F.lit(1)), 0.8, 0).collect() == []
     assert spotsigs.hub_pairs(df.limit(0), 0.8, 0).collect() == []
+
+
+def test_spotsigs_next_document_over_ranges(spark, monkeypatch):
+    """Ranges of three rows: repeated and null ids are cut by their texts, and every row meets the next one."""
+    monkeypatch.setattr(spotsigs, "RANGE_ROWS", 3)
+    rows = [(i, f"t{i}") for i in range(0, 120, 2)] + [(50, f"again {i}") for i in range(40)] + [(None, f"none {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    got = sorted(((r.id, r.text, r.next) for r in spotsigs.with_next(df, "id", "text", "next").collect()), key=repr)
+    assert got == sorted(((*r, order[(i + 1) % len(order)][1]) for i, r in enumerate(order)), key=repr)
+    values = F.from_json(F.lit("[1, 4, 4, 9]"), "array<long>")
+    places = spark.range(12).select(spotsigs.place_among(values, F.col("id")).alias("n")).collect()
+    assert [r.n for r in places] == [0, 1, 1, 1, 3, 3, 3, 3, 3, 4, 4, 4]
+    assert spotsigs.with_next(df.limit(0), "id", "text", "next").collect() == []
