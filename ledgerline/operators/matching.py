@@ -7,6 +7,9 @@ needed(s) = ceil(t s / 2) - (q - 1) ((1 - t) s + 1) for a joint length s. Two se
 rarest |set| - k + 1 of each, in one order of all q-grams by their frequency: only those are joined. Joint lengths
 that are too short for q-grams to be needed are joined by single characters, of which at least L are shared.
 
+Short joint lengths leave room for one character too many at most. Such names are equal, or the longer without one
+character is the shorter: they are joined by whole names, so names that share a long beginning cost nothing.
+
 The best match of a name is sought from high ratios to low ones. At a high one few q-grams are joined; a name whose
 best is there needs no lower one, as every name at that ratio or more was a candidate.
 """
@@ -81,6 +84,30 @@ def shortest(ratio: float, q: int) -> int:
     return math.ceil(q / (ratio / 2 - (q - 1) * (1 - ratio)))
 
 
+def longest_of_one(ratio: float) -> int:
+    """The joint length up to which two texts at a ratio differ by one character too many at most."""
+    return math.floor((2 - 1e-6) / (1 - ratio))
+
+
+def fitting(a: Column, b: Column, ratio: float) -> Column:
+    """Whether two lengths leave room for a ratio."""
+    return 200.0 * F.least(a, b) >= (a + b) * ratio * 100 - 1e-6
+
+
+def _one_more(left: DataFrame, right: DataFrame, ratio: float, most: int) -> DataFrame:
+    """(l, r): pairs of texts, of a joint length up to most, that are equal or one of which has a character more."""
+    n = F.length("t")
+
+    def shortened(side: DataFrame, whole: str, less: str) -> DataFrame:
+        without = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring("t", F.lit(1), i - 1), F.substring("t", i + 1, n)))
+        rows = side.filter(fitting(n, n - 1, ratio) & (2 * n - 1 <= most))
+        return rows.select(F.col("t").alias(whole), F.explode(F.array_distinct(without)).alias(less))
+
+    l, r = left.select(F.col("t").alias("l")), right.select(F.col("t").alias("r"))  # noqa: E741
+    same = l.join(r, F.col("l") == F.col("r")).filter(2 * F.length("l") <= most)
+    return same.unionByName(shortened(left, "l", "r").join(r, "r")).unionByName(shortened(right, "r", "l").join(l, "l"))
+
+
 def _joined(left: DataFrame, right: DataFrame, ratio: float, q: int, least: int, most: int | None) -> DataFrame:
     """(l, r): pairs of texts that share one of their rarest q-grams, with a joint length between least and most."""
     def tokens(side: DataFrame) -> DataFrame:
@@ -103,16 +130,19 @@ def _joined(left: DataFrame, right: DataFrame, ratio: float, q: int, least: int,
 
     pairs = prefix(sides[0], "l").join(prefix(sides[1], "r"), "gram").select("l", "r")
     a, b = F.length("l"), F.length("r")
-    fits = (200.0 * F.least(a, b) >= (a + b) * ratio * 100 - 1e-6) & (a + b >= least)
+    fits = fitting(a, b, ratio) & (a + b >= least)
     return pairs.filter(fits & (a + b <= most) if most is not None else fits).distinct()
 
 
 def candidates(left: DataFrame, right: DataFrame, ratio: float, q: int) -> DataFrame:
     """(l, r) of all pairs of texts (t) at a ratio or more, and some more."""
-    if q == 1:
-        return _joined(left, right, ratio, 1, 0, None)
-    at = shortest(ratio, q)
-    return _joined(left, right, ratio, q, at, None).unionAll(_joined(left, right, ratio, 1, 0, at - 1))
+    if ratio >= 1:
+        return left.select(F.col("t").alias("l")).join(right.select(F.col("t").alias("r")), F.col("l") == F.col("r"))
+    one = longest_of_one(ratio)
+    at, pairs = max(shortest(ratio, q), one + 1), _one_more(left, right, ratio, one)
+    if at > one + 1:
+        pairs = pairs.unionByName(_joined(left, right, ratio, 1, one + 1, at - 1))
+    return pairs.unionByName(_joined(left, right, ratio, q, at, None))
 
 
 def scored(pairs: DataFrame, ratio: float) -> DataFrame:

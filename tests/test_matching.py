@@ -69,3 +69,24 @@ def test_similar_names_are_excluded(spark):
     controls = spark.createDataFrame([("Alpha Steel Ltd", 1), ("Steel Alpha Limited", 2), ("Gamma", 3), (None, 4)], "company_name string, source_row long")
     listed = spark.createDataFrame([("alpha  steell ltd",), (None,)], "company_name string")
     assert sorted(r["source_row"] for r in matching.exclude_similar(controls, listed, 90).collect()) == [2, 3, 4]
+
+
+def test_names_that_share_a_long_beginning_are_not_compared_with_each_other(spark):
+    left = spark.range(400).selectExpr("concat('customer#', lpad(id, 9, '0')) as t")
+    right = spark.range(0, 400, 2).selectExpr("concat('xcustomer#', lpad(id, 9, '0')) as t").unionAll(spark.range(1, 400, 2).selectExpr("concat('customer#', lpad(id, 9, '0'), 'q') as t"))
+    near = matching.candidates(left, right, 0.95, 3)
+    assert near.count() == near.distinct().count() == 400
+    assert matching.scored(near, 0.95).count() == 400
+
+
+@pytest.mark.parametrize("ratio", [0.95, 0.97, 1.0])
+def test_no_pair_of_one_letter_too_many_is_lost(spark, ratio):
+    made = [n for n in names(150, 5) if tidy(n)]
+    more = [n[: i % len(n)] + "w" + n[i % len(n) :] for i, n in enumerate(made)]
+    a = spark.createDataFrame([(n,) for n in made], "company_name string")
+    b = spark.createDataFrame([(n,) for n in [*made[::2], *more]], "name string")
+    got = {(r["l"], r["r"]): r["score"] for r in matching.similar_names(a, b, ratio, 3).collect()}
+    texts = lambda rows: {tidy(n) for n in rows}
+    want = {(x, y): 200.0 * lcs(x, y) / (len(x) + len(y)) for x in texts(made) for y in texts([*made[::2], *more])}
+    want = {k: v for k, v in want.items() if v >= 100 * ratio - 1e-9}
+    assert len(want) > 20 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
