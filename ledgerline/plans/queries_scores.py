@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rules, scoring
+from ..operators.features import build_features
+from ..operators.ranges import stored
 from . import panel
 from .catalog import query
 from .queries_features import CRITICAL_SQL, FEATURES_SQL, ID, IDS, NAMES_SQL, TEMPORAL_SQL, full, rows
@@ -25,8 +27,13 @@ decided AS (
   FROM b)"""
 
 
+def stored_features(spark, sf_dir):
+    """All features over company-years that are stored, for the medians and for the rows that meet them."""
+    return build_features(stored(panel.company_years(spark, sf_dir), "company-years"))
+
+
 def decided(spark, sf_dir):
-    return scoring.score_years(full(spark, sf_dir), THRESHOLD)
+    return scoring.score_years(stored_features(spark, sf_dir), THRESHOLD)
 
 
 @query(f"WITH {DECIDED_SQL} SELECT {IDS}, round(p, 9) AS ml_probability, (p >= 0.5)::INT AS ml_class, n_flags AS rule_flag_count, n_critical AS critical_rule_count, risk_band, array_to_string(top, ' | ') AS top_reasons FROM decided")
@@ -55,7 +62,7 @@ def top_reasons(spark, sf_dir):
 
 @query(f"WITH {DECIDED_SQL} SELECT {IDS}, array_to_string(peers, '|') AS model_reasons FROM decided")
 def heuristic_reasons(spark, sf_dir):
-    df = full(spark, sf_dir)
+    df = stored_features(spark, sf_dir)
     return scoring.heuristic_reasons(df, scoring.sector_reference(df)).select(*ID, F.array_join("model_reasons", "|").alias("model_reasons"))
 
 
