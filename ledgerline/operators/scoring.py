@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import build_features
-from .ranges import exact_medians
+from .ranges import exact_medians, stored
 from .rules import RULES, hybrid_decision
 from .training import Trained
 
@@ -120,8 +120,11 @@ def roll_up(years: DataFrame, known_sectors: list[str] | None = None) -> DataFra
 def score_companies(raw: DataFrame, threshold: float | None = None, reference: DataFrame | None = None, known_sectors: list[str] | None = None, model: Trained | None = None) -> DataFrame:
     """Raw company-years to scored companies, by a trained model or the stand-in; within a cin the history goes by company name.
 
-    With a model its name is a column, and its training sectors are the known ones.
+    With a model its name is a column, and its training sectors are the known ones. Rows whose medians have to be found
+    first are read several times, so they are stored.
     """
+    if reference is None and (model is None or model.reference is None):
+        raw = stored(raw, "company-years")
     years = score_years(build_features(raw, ["cin", "company_name"]), threshold, reference, model=model)
     if model is None:
         return roll_up(years, known_sectors)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cohorts, extract, scoring
+from ..operators.ranges import stored
 from . import panel, queries_scores  # noqa: F401  its SQL checks the incremental job, too
 from .catalog import query
 from .panel import table
@@ -270,10 +271,10 @@ def incremental_score(spark, sf_dir):
     from .queries_scores import THRESHOLD
 
     base = new_path(spark, "incremental")
-    years = panel.company_years(spark, sf_dir)
+    years = stored(panel.company_years(spark, sf_dir), "company-years")
     for batch in ("financial_year <= 1996", "financial_year > 1996"):
         years.filter(batch).write.mode("append").parquet(f"{base}/incoming")
         incremental.incremental_score(spark, f"{base}/incoming", years.schema, f"{base}/facts", f"{base}/scores", f"{base}/checkpoint", THRESHOLD).awaitTermination()
-    schema = scoring.score_companies(years.limit(0), THRESHOLD).schema
+    schema = scoring.score_companies(spark.createDataFrame([], years.schema), THRESHOLD).schema
     rows = incremental.latest_scores(spark, f"{base}/scores", schema)
     return rows.select("cin", "latest_financial_year", "years_received", F.round("ml_probability", 9).alias("ml_probability"), "risk_band", "rule_flag_count")
